@@ -24,7 +24,7 @@ class PerfectHash:
     def __init__(self, keys: list[bytes]) -> None:
         import xxhash
 
-        self.n, self.size = len(keys), max(1, len(keys) // 4)
+        self.n, self.size = len(keys), max(1, len(keys) // 2)
         self.shift, self.slots = np.zeros(self.size, np.int64), [0] * self.n
         groups: dict[int, list[tuple[int, int]]] = {}
         for i, k in enumerate(keys):

@@ -25,7 +25,8 @@ def _words(line):
 
 
 def _bigrams(words):
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.try_element_at(words, i.cast("int")), F.try_element_at(words, (i + 1).cast("int")))))
+    pair = lambda i: F.concat_ws(" ", F.try_element_at(words, i - 1), F.try_element_at(words, i))
+    return F.array_distinct(F.transform(F.sequence(F.lit(2), F.greatest(F.size(words), F.lit(2))), pair))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = DICE) -> DataFrame:
