@@ -40,9 +40,10 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = D
     sizes = [r.n for r in known.select(F.size("tb").alias("n")).collect()]
     low, high = min(sizes) * dice / (2 - dice), max(sizes) * (2 - dice) / dice
     lines = texts(docs).select("doc_id", F.posexplode(F.split("text", r"\n")).alias("line_no", "line"))
-    # a line with fewer characters than any admissible bigram set needs, or fewer words, can match nothing
-    sized = lines.where(F.length("line") >= 2 * low).withColumn("w", _words(F.col("line"))).where((F.size("w") >= 2) & (F.size("w") - 1 >= low))
-    sets = sized.withColumn("b", _bigrams(F.col("w"))).withColumn("n", F.size("b")).where((F.col("n") >= low) & (F.col("n") <= high))
+    # too few characters or words for any admissible bigram set; explode keeps each expression evaluated once
+    long = lines.where(F.length("line") >= 2 * low)
+    sized = long.select("doc_id", "line_no", F.explode(F.array(_words(F.col("line")))).alias("w")).where((F.size("w") >= 2) & (F.size("w") - 1 >= low))
+    sets = sized.select("doc_id", "line_no", F.explode(F.array(_bigrams(F.col("w")))).alias("b")).withColumn("n", F.size("b")).where((F.col("n") >= low) & (F.col("n") <= high))
     m = F.size("tb")
     near = F.broadcast(known.select("license", "tb"))
     return (
