@@ -1,0 +1,164 @@
+"""Operators of the retail model: cleaning, quality rules, history, merge. Each takes and gives lazy frames."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+# The domains of the retail model.
+STATUSES = ["created", "paid", "shipped", "delivered", "cancelled", "returned"]
+REVENUE = ["paid", "shipped", "delivered"]
+EVENTS = ["page_view", "product_view", "add_to_cart", "remove_from_cart", "checkout"]
+SEVERITIES = ("fail", "drop", "warn")
+EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+
+
+def blank_to_null(c: str) -> Column:
+    return F.nullif(F.trim(c), F.lit(""))
+
+
+def surrogate_key(*cols: str) -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", *cols), 256), 1, 16)
+
+
+def row_hash(cols: list[str]) -> Column:
+    return F.sha2(F.concat_ws("||", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols]), 256)
+
+
+def keep_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row per key: the first by order, which should be total."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def clean_orders(raw: DataFrame) -> DataFrame:
+    status = F.lower(F.trim("status"))
+    out = raw.select(
+        F.trim("order_id").alias("order_id"),
+        blank_to_null("customer_id").alias("customer_id"),
+        F.try_to_timestamp("order_ts").cast("timestamp_ntz").alias("order_ts"),
+        F.when(status.isin(STATUSES), status).otherwise("unknown").alias("status"),
+        F.lower(F.trim("channel")).alias("channel"),
+        F.upper(F.trim("currency")).alias("currency"),
+        F.upper(F.trim("shipping_country")).alias("shipping_country"),
+    )
+    out = out.withColumns({"order_date": F.to_date("order_ts"), "is_revenue": F.col("status").isin(REVENUE)})
+    return keep_latest(out, ["order_id"], [F.desc_nulls_last("order_ts"), F.desc_nulls_last("status"), F.desc_nulls_last("customer_id")])
+
+
+def clean_items(raw: DataFrame) -> DataFrame:
+    qty = F.col("quantity").try_cast("double").try_cast("int")
+    price = F.col("unit_price").try_cast("decimal(12,2)")
+    out = raw.withColumns({"quantity": qty, "unit_price": price})
+    out = out.withColumn("line_amount", (F.col("quantity") * F.col("unit_price")).cast("decimal(14,2)"))
+    return keep_latest(out, ["item_id"], [F.desc("ingested_at"), F.asc("product_id"), F.asc("supplier_id"), F.asc("quantity"), F.asc("discount_pct")])
+
+
+def clean_products(raw: DataFrame) -> DataFrame:
+    return raw.withColumns({"category": F.initcap(F.trim("category")), "subcategory": F.initcap(F.trim("subcategory")), "list_price": F.col("list_price").try_cast("decimal(12,2)")})
+
+
+def clean_clicks(raw: DataFrame) -> DataFrame:
+    return raw.withColumns({"customer_id": blank_to_null("customer_id"), "event_date": F.to_date("event_ts"), "is_conversion": F.col("event_type") == "checkout"})
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A predicate that must be TRUE: FALSE and NULL both fail."""
+
+    name: str
+    dataset: str
+    predicate: str
+    severity: str
+
+    def __post_init__(self) -> None:
+        if self.severity not in SEVERITIES:
+            raise ValueError(f"severity must be one of {SEVERITIES}")
+
+    @property
+    def broken(self) -> Column:
+        return ~F.coalesce(F.expr(self.predicate), F.lit(False))
+
+
+RULES = [
+    Rule("orders_id_not_null", "orders", "order_id IS NOT NULL AND length(order_id) > 0", "fail"),
+    Rule("orders_customer_known", "orders", "customer_id IS NOT NULL", "drop"),
+    Rule("orders_ts_not_null", "orders", "order_ts IS NOT NULL", "drop"),
+    Rule("orders_status_known", "orders", "status <> 'unknown'", "warn"),
+    Rule("items_quantity_positive", "items", "quantity > 0", "drop"),
+    Rule("items_price_positive", "items", "unit_price > 0", "drop"),
+    Rule("items_order_ref", "items", "order_id IS NOT NULL", "fail"),
+    Rule("items_amount_consistent", "items", "abs(line_amount - quantity * unit_price) < 0.01", "warn"),
+    Rule("events_id_not_null", "clicks", "event_id IS NOT NULL", "fail"),
+    Rule("events_ts_not_null", "clicks", "event_ts IS NOT NULL", "drop"),
+    Rule("events_type_known", "clicks", "event_type IN ('" + "', '".join(EVENTS) + "')", "drop"),
+]
+
+
+def rules_for(dataset: str, *severities: str) -> list[Rule]:
+    return [r for r in RULES if r.dataset == dataset and r.severity in (severities or SEVERITIES)]
+
+
+def profile(df: DataFrame, dataset: str) -> DataFrame:
+    """A row per rule from one scan: rows_total, rows_failed, failure_rate, passed."""
+    rules = rules_for(dataset)
+    if not rules:
+        raise ValueError(f"no rules for {dataset}")
+    one = df.agg(F.count("*").alias("rows_total"), *[F.count_if(r.broken).alias(r.name) for r in rules])
+    each = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.col(r.name).alias("rows_failed")) for r in rules])
+    rate = F.when(F.col("rows_total") == 0, 0.0).otherwise(F.col("rows_failed").cast("double") / F.col("rows_total"))
+    return one.select("rows_total", F.inline(each)).withColumns({"failure_rate": rate, "passed": F.col("rows_failed") == 0})
+
+
+def quarantine(df: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
+    """Valid rows, and the rest with failed_rules; warnings do not reject."""
+    blocking = rules_for(dataset, "fail", "drop")
+    if not blocking:
+        return df, df.where("false").withColumn("failed_rules", F.array().cast("array<string>"))
+    tagged = df.withColumn("failed_rules", F.array_compact(F.array(*[F.when(r.broken, F.lit(r.name)) for r in blocking])))
+    return tagged.where(F.size("failed_rules") == 0).drop("failed_rules"), tagged.where(F.size("failed_rules") > 0)
+
+
+def gate(df: DataFrame, dataset: str) -> None:
+    """Raise when a rule of severity fail is broken."""
+    bad = [f"{r.rule}={r.rows_failed}" for r in profile(df, dataset).where("severity = 'fail' AND NOT passed").collect()]
+    if bad:
+        raise ValueError("DQ blocking failures: " + ", ".join(bad))
+
+
+def scd2(feed: DataFrame, key: str, seq: list[str], tracked: list[str]) -> DataFrame:
+    """Versions per key from a change feed in any order; unchanged rows are left out."""
+    w = Window.partitionBy(key).orderBy(*seq)
+    seen = feed.withColumn("_h", row_hash(tracked)).withColumn("_before", F.lag("_h").over(w))
+    points = seen.where(F.col("_before").isNull() | (F.col("_before") != F.col("_h"))).drop("_before", "_h")
+    out = points.withColumn("valid_to", F.lead(seq[0]).over(w)).withColumnRenamed(seq[0], "valid_from")
+    return out.withColumn("is_current", F.col("valid_to").isNull())
+
+
+def merge(target: DataFrame, source: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Upsert by key with soft delete of what the source lacks; a null source key never matches."""
+    s = source.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in cols], F.lit(True).alias("_s"))
+    both = target.withColumn("_t", F.lit(True)).join(s, target[key] == F.col("_k"), "full_outer")
+    found = F.col("_s").isNotNull()
+    return both.select(F.coalesce(key, "_k").alias(key), *[F.when(found, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in cols], (~found).alias("is_deleted"))
+
+
+def changes(old: DataFrame, new: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Change feed between two versions: insert, delete, update_preimage, update_postimage."""
+    a = old.select(F.col(key).alias("ka"), F.struct(*cols).alias("a"))
+    b = new.select(F.col(key).alias("kb"), F.struct(*cols).alias("b"))
+    both = a.join(b, F.col("ka") == F.col("kb"), "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
+    row = lambda kind, c: F.struct(F.lit(kind).alias("change"), F.col(c).alias("v"))
+    kinds = F.when(F.col("ka").isNull(), F.array(row("insert", "b"))).when(F.col("kb").isNull(), F.array(row("delete", "a"))).otherwise(F.array(row("update_preimage", "a"), row("update_postimage", "b")))
+    return both.select(F.coalesce("ka", "kb").alias(key), F.inline(kinds)).select(key, "change", "v.*")
+
+
+def sum_decimal(c: str, name: str) -> Column:
+    return F.sum(c).cast("decimal(28,2)").alias(name)
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

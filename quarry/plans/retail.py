@@ -1,9 +1,210 @@
-"""Registered queries of the retail engine."""
+"""Registered queries of the retail engine and their DuckDB twins.
 
+TWINS are in the SQL that both engines share; {names} stand for frames in Spark and for the CTEs of BASE in DuckDB.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.operators import core
+from quarry.sources import retail as src
+
+BASE = """
+WITH orders_raw AS (
+  SELECT o_orderkey::VARCHAR order_id, o_custkey::VARCHAR customer_id, o_orderdate::TIMESTAMP order_ts,
+         CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'created' ELSE 'paid' END status,
+         lower(trim(o_orderpriority)) channel, 'EUR' currency, upper(n_name) shipping_country
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+orders_c AS (
+  SELECT *, order_ts::DATE order_date, status IN ('paid','shipped','delivered') is_revenue FROM (
+    SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY order_ts DESC NULLS LAST, status DESC NULLS LAST, customer_id DESC NULLS LAST) rn FROM orders_raw) WHERE rn = 1),
+items_c AS (
+  SELECT *, (quantity * unit_price)::DECIMAL(14,2) line_amount FROM (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ingested_at DESC, product_id, supplier_id, quantity, discount_pct) rn FROM (
+      SELECT l_orderkey || '-' || l_linenumber item_id, l_orderkey::VARCHAR order_id, l_partkey::VARCHAR product_id, l_quantity::INT quantity,
+             p_retailprice::DECIMAL(12,2) unit_price, l_discount::DECIMAL(4,2) discount_pct, l_shipdate ingested_at, l_suppkey supplier_id
+      FROM lineitem JOIN part ON l_partkey = p_partkey)) WHERE rn = 1),
+products_c AS (
+  SELECT p_partkey::VARCHAR product_id, p_name product_name, upper(p_type[1]) || lower(p_type[2:]) category,
+         CASE WHEN p_size <= 15 THEN 'Small' WHEN p_size <= 35 THEN 'Medium' ELSE 'Large' END subcategory, p_brand brand, p_retailprice::DECIMAL(12,2) list_price
+  FROM part),
+clicks_c AS (
+  SELECT event_id::VARCHAR event_id, user_id || '-' || strftime(ts, '%Y%m%d') session_id, user_id::VARCHAR customer_id, ts event_ts,
+         CASE event_type WHEN 'signup' THEN 'page_view' WHEN 'view' THEN 'product_view' WHEN 'click' THEN 'add_to_cart' WHEN 'purchase' THEN 'checkout' ELSE 'other' END event_type,
+         json_extract_string(props, '$.k') product_id,
+         CASE (json_extract_string(props, '$.k')::INT) % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'tablet' END device,
+         ts::DATE event_date, event_type = 'purchase' is_conversion FROM events),
+fact_c AS (
+  SELECT item_id, i.order_id, customer_id, product_id, order_date, order_ts, status, channel, shipping_country, is_revenue, category, brand, quantity,
+         line_amount gross, (line_amount * discount_pct)::DECIMAL(14,2) discount,
+         (line_amount - (line_amount * discount_pct)::DECIMAL(14,2))::DECIMAL(14,2) net
+  FROM items_c i JOIN orders_c o USING (order_id) LEFT JOIN products_c USING (product_id)),
+customers_c AS (
+  SELECT c_custkey::VARCHAR customer_id, c_name full_name, lower(c_mktsegment) segment, n_name country, r_name region,
+         lower(replace(c_name, '#', '.')) || CASE WHEN c_custkey % 50 = 0 THEN '#' ELSE '@' END || 'mail.example' email
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+"""
+
+
+def frames(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    orders, items = core.clean_orders(src.raw_orders(spark, d)), core.clean_items(src.raw_items(spark, d))
+    products, clicks = core.clean_products(src.raw_products(spark, d)), core.clean_clicks(src.raw_clicks(spark, d))
+    return {"orders": orders, "items": items, "products": products, "clicks": clicks, "fact": fact(orders, items, products), "customers": customers(spark, d)}
+
+
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    c, n, r = (src.read(spark, d, x) for x in ("customer", "nation", "region"))
+    mark = F.when(F.col("c_custkey") % 50 == 0, "#").otherwise("@")
+    return (
+        c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+        .join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+        .select(
+            F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_name").alias("full_name"), F.lower("c_mktsegment").alias("segment"), F.col("n_name").alias("country"),
+            F.col("r_name").alias("region"), F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), mark, F.lit("mail.example")).alias("email"),
+        )
+    )
+
+
+def fact(orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
+    """One row per item; products are joined by Spark's own choice, so that a large catalogue is never forced to broadcast."""
+    discount = (F.col("line_amount") * F.col("discount_pct")).cast("decimal(14,2)")
+    joined = items.join(orders, "order_id").join(products.select("product_id", "category", "brand"), "product_id", "left")
+    return joined.select(
+        "item_id", "order_id", "customer_id", "product_id", "order_date", "order_ts", "status", "channel", "shipping_country", "is_revenue", "category", "brand", "quantity",
+        F.col("line_amount").alias("gross"), discount.alias("discount"), (F.col("line_amount") - discount).cast("decimal(14,2)").alias("net"),
+    )
+
+
+MONEY = "DECIMAL(28,2)"
+DAILY = f"""SELECT order_date, channel, category, count(DISTINCT order_id) orders_cnt, count(DISTINCT customer_id) customers_cnt, CAST(sum(quantity) AS BIGINT) units,
+  CAST(sum(gross) AS {MONEY}) gross_revenue, CAST(sum(discount) AS {MONEY}) discount_total, CAST(sum(net) AS {MONEY}) net_revenue FROM {{fact}} WHERE is_revenue GROUP BY order_date, channel, category"""
+SESSIONS = """SELECT session_id, min(customer_id) customer_id, min(device) device, min(event_ts) started, max(event_ts) ended, count(*) events, count(DISTINCT product_id) products,
+  max(CASE WHEN is_conversion THEN 1 ELSE 0 END) converted FROM {clicks} GROUP BY session_id"""
+RFM = f"""SELECT *, r + f + m AS rfm_score, CASE WHEN r >= 4 AND f >= 4 THEN 'champions' WHEN r >= 4 THEN 'new_or_promising' WHEN r <= 2 AND m >= 4 THEN 'at_risk_high_value'
+  WHEN r <= 2 THEN 'hibernating' ELSE 'loyal' END rfm_segment FROM (SELECT customer_id, last_order, frequency, monetary,
+  CAST(6 - ntile(5) OVER (ORDER BY last_order DESC, customer_id) AS INT) r, CAST(ntile(5) OVER (ORDER BY frequency, customer_id) AS INT) f, CAST(ntile(5) OVER (ORDER BY monetary, customer_id) AS INT) m
+  FROM (SELECT customer_id, max(order_date) last_order, count(DISTINCT order_id) frequency, CAST(sum(net) AS {MONEY}) monetary FROM {{fact}} WHERE is_revenue GROUP BY customer_id) q) s"""
+
+TWINS = {
+    "clean_orders": "SELECT order_id, customer_id, order_ts, status, channel, currency, shipping_country, order_date, is_revenue FROM {orders}",
+    "clean_items": "SELECT item_id, order_id, product_id, quantity, unit_price, discount_pct, line_amount FROM {items}",
+    "clean_products": "SELECT product_id, product_name, category, subcategory, brand, list_price FROM {products}",
+    "clean_clicks": "SELECT event_id, session_id, customer_id, event_ts, event_type, product_id, device, event_date, is_conversion FROM {clicks}",
+    "fact_items": "SELECT * FROM {fact}",
+    "daily_sales": f"""SELECT *, CAST(floor(100 * CAST(net_revenue AS DOUBLE) / orders_cnt + 0.5) / 100 AS DECIMAL(14,2)) aov,
+        round(avg(CAST(net_revenue AS DOUBLE)) OVER (PARTITION BY channel, category ORDER BY order_date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), 4) avg_7d FROM ({DAILY}) q""",
+    "rfm": RFM,
+    "rfm_segments": f"SELECT rfm_segment, count(*) customers, CAST(sum(monetary) AS {MONEY}) monetary FROM ({RFM}) z GROUP BY rfm_segment",
+    "top_products": f"""SELECT * FROM (SELECT *, CAST(dense_rank() OVER (PARTITION BY category ORDER BY net_revenue DESC) AS INT) position FROM (SELECT category, product_id, brand,
+        CAST(sum(quantity) AS BIGINT) units, CAST(sum(net) AS {MONEY}) net_revenue, count(DISTINCT order_id) orders_cnt FROM {{fact}} WHERE is_revenue GROUP BY category, product_id, brand) q) s WHERE position <= 10""",
+    "sessions": SESSIONS,
+    "customer_360": f"""SELECT c.customer_id, c.segment, c.country, coalesce(p.orders_cnt, 0) orders_cnt, coalesce(p.revenue, CAST(0 AS {MONEY})) revenue, p.last_order, coalesce(b.sessions, 0) sessions
+        FROM {{customers}} c LEFT JOIN (SELECT customer_id, count(DISTINCT order_id) orders_cnt, CAST(sum(net) AS {MONEY}) revenue, max(order_date) last_order FROM {{fact}} WHERE is_revenue GROUP BY customer_id) p
+        ON c.customer_id = p.customer_id LEFT JOIN (SELECT customer_id, count(DISTINCT session_id) sessions FROM {{clicks}} GROUP BY customer_id) b ON c.customer_id = b.customer_id""",
+    "revenue_by_day": f"SELECT order_date, CAST(sum(net) AS {MONEY}) revenue, count(DISTINCT order_id) orders_cnt FROM {{fact}} WHERE is_revenue GROUP BY order_date",
+    "revenue_overview": f"""SELECT CAST(sum(net_revenue) AS {MONEY}) revenue, CAST(sum(orders_cnt) AS BIGINT) orders_cnt, CAST(sum(units) AS BIGINT) units,
+        round(CAST(sum(net_revenue) AS DOUBLE) / nullif(CAST(sum(orders_cnt) AS DOUBLE), 0), 2) aov, round(100 * CAST(sum(discount_total) AS DOUBLE) / nullif(CAST(sum(gross_revenue) AS DOUBLE), 0), 2) discount_share
+        FROM ({DAILY}) q WHERE order_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'""",
+    "cohort_retention": """WITH act AS (SELECT DISTINCT customer_id, CAST(date_trunc('month', order_date) AS DATE) m FROM {fact} WHERE is_revenue),
+        born AS (SELECT customer_id, min(m) cohort FROM act GROUP BY customer_id), size AS (SELECT cohort, count(*) n FROM born GROUP BY cohort)
+        SELECT b.cohort, CAST((year(a.m) - year(b.cohort)) * 12 + month(a.m) - month(b.cohort) AS INT) month_no, count(*) customers, round(100.0 * CAST(count(*) AS DOUBLE) / max(s.n), 1) retention
+        FROM act a JOIN born b ON a.customer_id = b.customer_id JOIN size s ON b.cohort = s.cohort GROUP BY 1, 2""",
+    "funnel": """SELECT device, count(*) sessions, CAST(sum(v) AS BIGINT) viewed, CAST(sum(c) AS BIGINT) carted, CAST(sum(k) AS BIGINT) bought, round(100.0 * CAST(sum(c) AS DOUBLE) / nullif(sum(v), 0), 2) view_to_cart
+        FROM (SELECT session_id, device, max(CASE WHEN event_type = 'product_view' THEN 1 ELSE 0 END) v, max(CASE WHEN event_type = 'add_to_cart' THEN 1 ELSE 0 END) c,
+        max(CASE WHEN event_type = 'checkout' THEN 1 ELSE 0 END) k FROM {clicks} GROUP BY session_id, device) s GROUP BY device""",
+    "alert_revenue_drop": """WITH d AS (SELECT order_date, CAST(sum(net) AS DOUBLE) revenue FROM {fact} WHERE is_revenue GROUP BY order_date), t AS (SELECT max(order_date) today FROM d)
+        SELECT today, round((SELECT max(revenue) FROM d WHERE order_date = (SELECT today FROM t)), 2) latest, round(avg(CASE WHEN order_date < today AND order_date >= today - INTERVAL 7 DAYS THEN revenue END), 2) usual FROM d CROSS JOIN t GROUP BY today""",
+    "alert_cancelled_share": "SELECT round(100 * CAST(count(*) FILTER (WHERE NOT is_revenue) AS DOUBLE) / count(*), 4) share FROM {fact}",
+    "anti_orphans": "SELECT count(*) orphans FROM {items} i WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.order_id = i.order_id)",
+    "not_in_anti": "SELECT customer_id FROM {customers} WHERE customer_id NOT IN (SELECT customer_id FROM {orders} WHERE customer_id IS NOT NULL)",
+    "exists_semi": "SELECT customer_id FROM {customers} c WHERE EXISTS (SELECT 1 FROM {fact} f WHERE f.customer_id = c.customer_id AND f.net > 1000)",
+    "share_of_total": "SELECT segment, count(*) n, round(CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) share FROM {customers} GROUP BY segment",
+    "except_all": "SELECT customer_id FROM {orders} EXCEPT ALL SELECT customer_id FROM {orders} WHERE is_revenue",
+    "union_all": "SELECT customer_id, 'order' kind FROM {orders} UNION ALL SELECT customer_id, 'click' kind FROM {clicks}",
+    "range_price_join": """SELECT p.valid_from, count(*) n, CAST(sum(f.quantity) AS BIGINT) units FROM {fact} f JOIN (SELECT 'paid' status, DATE '1995-01-01' valid_from, DATE '1998-01-01' valid_to
+        UNION ALL SELECT 'paid', DATE '1998-01-01', CAST(NULL AS DATE)) p ON f.status = p.status AND f.order_date >= p.valid_from AND (p.valid_to IS NULL OR f.order_date < p.valid_to) GROUP BY p.valid_from""",
+    "calendar_gaps": "SELECT count(*) day_count, min(order_date) first_day, max(order_date) last_day FROM (SELECT DISTINCT order_date FROM {orders}) d",
+    "masked_customers": "SELECT customer_id, concat(left(full_name, 1), '***') name, concat('***@', split_part(email, '@', 2)) email FROM {customers}",
+    "email_validity": "SELECT count(*) n, count(*) FILTER (WHERE email LIKE '%_@_%._%') valid FROM {customers}",
+    "batch_windows_5min": """SELECT to_timestamp_ntz_5 window_start, device, count(*) events, count(DISTINCT session_id) sessions, CAST(sum(CASE WHEN is_conversion THEN 1 ELSE 0 END) AS BIGINT) checkouts
+        FROM (SELECT *, date_trunc('minute', event_ts) - INTERVAL 1 MINUTE * (minute(event_ts) % 5) to_timestamp_ntz_5 FROM {clicks}) w GROUP BY to_timestamp_ntz_5, device""",
+    "churn_labels": """WITH t AS (SELECT max(order_date) - INTERVAL 30 DAYS cut FROM {fact}) SELECT customer_id, CASE WHEN max(order_date) > max(cut) THEN 0 ELSE 1 END churned FROM {fact} CROSS JOIN t WHERE is_revenue GROUP BY customer_id""",
+    "scd2_history": """SELECT customer_id, channel, order_ts valid_from, lead(order_ts) OVER (PARTITION BY customer_id ORDER BY order_ts, order_id) valid_to FROM (
+        SELECT *, lag(channel) OVER (PARTITION BY customer_id ORDER BY order_ts, order_id) was FROM {orders}) q WHERE was IS NULL OR was <> channel""",
+    "surrogate_keys": "SELECT customer_id, {sha}(customer_id) customer_sk FROM {customers}",
+    "dq_metrics_clicks": """SELECT rule, rows_failed, rows_total FROM (SELECT count(*) rows_total, count(*) FILTER (WHERE event_type = 'other') f FROM {clicks}) q CROSS JOIN (SELECT 'events_type_known' rule) r
+        CROSS JOIN LATERAL (SELECT f AS rows_failed) l""",
+}
+
+
+def _spark_twin(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: spark.sql(TWINS[name], **{k: v for k, v in frames(spark, d).items() if "{" + k + "}" in TWINS[name]})
+
+
+def scd2_history(spark: SparkSession, d: str) -> DataFrame:
+    feed = frames(spark, d)["orders"].select("customer_id", "channel", "order_ts", "order_id")
+    return core.scd2(feed, "customer_id", ["order_ts", "order_id"], ["channel"]).select("customer_id", "channel", "valid_from", "valid_to")
+
+
+def surrogate_keys(spark: SparkSession, d: str) -> DataFrame:
+    return customers(spark, d).select("customer_id", core.surrogate_key("customer_id").alias("customer_sk"))
+
+
+def dq_metrics_clicks(spark: SparkSession, d: str) -> DataFrame:
+    return core.profile(frames(spark, d)["clicks"], "clicks").where("rule = 'events_type_known'").select("rule", "rows_failed", "rows_total")
+
+
+def masked_customers(spark: SparkSession, d: str) -> DataFrame:
+    return customers(spark, d).select("customer_id", F.concat(F.left("full_name", F.lit(1)), F.lit("***")).alias("name"), F.concat(F.lit("***@"), F.split_part("email", F.lit("@"), F.lit(2))).alias("email"))
+
+
+def batch_windows(spark: SparkSession, d: str) -> DataFrame:
+    w = F.window(F.col("event_ts").cast("timestamp"), "5 minutes")
+    return frames(spark, d)["clicks"].groupBy(w.alias("w"), "device").agg(
+        F.count("*").alias("events"), F.countDistinct("session_id").alias("sessions"), F.sum(F.col("is_conversion").cast("bigint")).alias("checkouts")
+    ).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "device", "events", "sessions", "checkouts")
+
+
+def dq_quarantine_clicks(spark: SparkSession, d: str) -> DataFrame:
+    bad = core.quarantine(frames(spark, d)["clicks"], "clicks")[1]
+    return bad.select("event_id", F.explode("failed_rules").alias("rule"))
+
+
+def change_feed(spark: SparkSession, d: str) -> DataFrame:
+    o = frames(spark, d)["orders"].select("order_id", "status")
+    num = F.col("order_id").cast("bigint")
+    return core.changes(o.where(num % 5 != 0), o.where(num % 7 != 0).withColumn("status", F.when(num % 3 == 0, "returned").otherwise(F.col("status"))), "order_id", ["status"])
+
+
+def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
+    o = frames(spark, d)["orders"].select("order_id", "status")
+    num = F.col("order_id").cast("bigint")
+    return core.merge(o.where(num % 5 != 0), o.where(num % 7 != 0).withColumn("status", F.lit("returned")), "order_id", ["status"])
+
+
+OWN = {f.__name__: f for f in (scd2_history, surrogate_keys, dq_metrics_clicks, masked_customers, dq_quarantine_clicks, change_feed, merge_upsert)} | {"batch_windows_5min": batch_windows}
+OWN_SQL = {
+    "surrogate_keys": "SELECT customer_id, substr(sha256(customer_id), 1, 16) customer_sk FROM customers_c",
+    "dq_quarantine_clicks": "SELECT event_id, 'events_type_known' rule FROM clicks_c WHERE event_type = 'other'",
+    "change_feed": """, a AS (SELECT order_id, status FROM orders_c WHERE order_id::BIGINT % 5 <> 0), b AS (SELECT order_id, CASE WHEN order_id::BIGINT % 3 = 0 THEN 'returned' ELSE status END status FROM orders_c WHERE order_id::BIGINT % 7 <> 0)
+        SELECT order_id, 'insert' change, status FROM b WHERE order_id NOT IN (SELECT order_id FROM a) UNION ALL SELECT order_id, 'delete', status FROM a WHERE order_id NOT IN (SELECT order_id FROM b)
+        UNION ALL SELECT order_id, 'update_preimage', a.status FROM a JOIN b USING (order_id) WHERE a.status <> b.status UNION ALL SELECT order_id, 'update_postimage', b.status FROM a JOIN b USING (order_id) WHERE a.status <> b.status""",
+    "merge_upsert": "SELECT order_id, CASE WHEN order_id::BIGINT % 7 <> 0 THEN 'returned' ELSE status END status, order_id::BIGINT % 7 = 0 is_deleted FROM orders_c WHERE order_id::BIGINT % 5 <> 0 OR order_id::BIGINT % 7 <> 0",
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: OWN.get(n) or _spark_twin(n) for n in TWINS} | OWN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    names = {k: f"{k}_c" for k in ("orders", "items", "products", "clicks", "fact", "customers")}
+    out = {}
+    for n, text in ({n: t for n, t in TWINS.items() if n != "surrogate_keys"} | OWN_SQL).items():
+        body = text if n in OWN_SQL else text.format(**names)
+        out[n] = BASE.rstrip() + ("" if body.startswith(",") else "\n") + (body if not body.lstrip().upper().startswith("WITH ") else ", " + body.lstrip()[5:])
+    return out

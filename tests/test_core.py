@@ -1,0 +1,59 @@
+from decimal import Decimal
+
+import pytest
+
+from quarry.operators import core
+
+ORDERS = "order_id string, customer_id string, order_ts string, status string, channel string, currency string, shipping_country string"
+
+
+def orders(spark):
+    rows = [
+        ("O1", "C1", "2026-07-01 10:00:00", " PAID ", "WEB", "eur", "de"),
+        ("O1", "C1", "2026-07-01 11:00:00", "shipped", "Web", "eur", "de"),
+        ("O2", " ", "2026-07-02 10:00:00", "paid", "ios", "eur", "fr"),
+        ("O3", "C3", "2026-07-03 10:00:00", "odd", "web", "eur", "fr"),
+        ("O4", "C4", "not a time", "created", "web", "eur", "fr"),
+    ]
+    return core.clean_orders(spark.createDataFrame(rows, ORDERS))
+
+
+def test_cleaning_keeps_the_latest_and_normalises(spark):
+    got = {r.order_id: r for r in orders(spark).collect()}
+    assert len(got) == 4
+    assert (got["O1"].status, got["O1"].channel, got["O1"].currency, got["O1"].is_revenue) == ("shipped", "web", "EUR", True)
+    assert got["O2"].customer_id is None and got["O3"].status == "unknown" and got["O4"].order_ts is None
+
+
+def test_quality_rules_count_null_as_failure_and_quarantine(spark):
+    df = orders(spark)
+    rate = {r.rule: r for r in core.profile(df, "orders").collect()}
+    assert rate["orders_customer_known"].failure_rate == 0.25 and rate["orders_ts_not_null"].rows_failed == 1
+    good, bad = core.quarantine(df, "orders")
+    assert {r.order_id for r in good.collect()} == {"O1", "O3"}
+    assert {r.order_id: r.failed_rules for r in bad.collect()} == {"O2": ["orders_customer_known"], "O4": ["orders_ts_not_null"]}
+    core.gate(df, "orders")
+    with pytest.raises(ValueError, match="orders_id_not_null=4"):
+        core.gate(df.withColumn("order_id", core.F.lit(None).cast("string")), "orders")
+    with pytest.raises(ValueError):
+        core.Rule("x", "orders", "true", "loud")
+
+
+def test_scd2_has_one_current_version_and_no_gaps(spark):
+    feed = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 2, "x"), ("a", 4, "x"), ("b", 1, "z")], "k string, seq int, v string")
+    got = sorted(core.scd2(feed, "k", ["seq"], ["v"]).select("k", "valid_from", "valid_to", "v", "is_current").collect(), key=lambda r: (r.k, r.valid_from))
+    assert [tuple(r) for r in got] == [("a", 1, 3, "x", False), ("a", 3, 4, "y", False), ("a", 4, None, "x", True), ("b", 1, None, "z", True)]
+
+
+def test_merge_and_changes(spark):
+    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"), spark.createDataFrame([(2, "c"), (3, "d"), (None, "e")], "id long, v string")
+    merged = {tuple(r) for r in core.merge(old, new, "id", ["v"]).collect()}
+    assert merged == {(1, "a", True), (2, "c", False), (3, "d", False), (None, "e", False)}
+    feed = {tuple(r) for r in core.changes(old, new.where("id is not null"), "id", ["v"]).collect()}
+    assert feed == {(1, "delete", "a"), (2, "update_preimage", "b"), (2, "update_postimage", "c"), (3, "insert", "d")}
+
+
+def test_item_amounts_are_decimal(spark):
+    rows = [("1", "O1", "p", "2", "10.00", Decimal("0.10"), 1, 1), ("2", "O1", "p", "x", "y", Decimal("0"), 1, 1)]
+    got = {r.item_id: r.line_amount for r in core.clean_items(spark.createDataFrame(rows, "item_id string, order_id string, product_id string, quantity string, unit_price string, discount_pct decimal(4,2), ingested_at int, supplier_id int")).collect()}
+    assert got == {"1": Decimal("20.00"), "2": None}
