@@ -21,6 +21,7 @@ from quarry.llm.features import A, B, Words, hashes, words_of
 
 #: Frequent shingles that the order puts last: at most so many, those found in FREQUENT documents of a batch.
 HINTS, FREQUENT = 100_000, 8
+BITMAP = 26
 
 
 def shingles(text: str, k: int, memo: Words) -> np.ndarray:
@@ -57,13 +58,48 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     return np.array([r.token for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size, 2**BITMAP bits, with a bit set for each id."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(1 << BITMAP, bool)
+        for f in frames:
+            bits[_bit(f["id"].to_numpy(np.int64))] = True
+        if bits.any():
+            yield pd.DataFrame({"part": np.arange(64), "bits": [np.packbits(x).tobytes() for x in np.split(bits, 64)]})
+
+    def merged(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": f["part"][:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in f["bits"]]).tobytes()]})
+
+    few = ids.repartition(8, "id").mapInPandas(run, "part long, bits binary")
+    out = np.zeros((1 << BITMAP) // 8, np.uint8)
+    size = out.size // 64
+    for r in few.groupBy("part").applyInPandas(merged, "part long, bits binary").collect():
+        out[r.part * size : (r.part + 1) * size] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _marked(marks: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    bit = _bit(ids)
+    return (marks[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (ids.astype(np.uint64) * A) >> np.uint64(64 - BITMAP)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id, tokens of the documents with these ids, and of a few that share their bit: texts needn't move to be picked."""
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(ids))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Words()
         for f in frames:
-            yield pd.DataFrame({"id": f["doc_id"], "tokens": [shingles(t, k, memo).view(np.int64) for t in f["text"]]})
+            f = f[_marked(shared.value, f["doc_id"].to_numpy(np.int64))]
+            if len(f):
+                yield pd.DataFrame({"id": f["doc_id"], "tokens": [shingles(t, k, memo).view(np.int64) for t in f["text"]]})
 
-    return docs.mapInPandas(run, "id long, tokens array<long>")
+    return cut(docs.mapInPandas(run, "id long, tokens array<long>"))
 
 
 def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -94,6 +130,21 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return cut(docs.mapInPandas(run, "doc_id long, n long, key binary, prefix array<long>"))
 
 
+def _postings(classes: DataFrame, common: DataFrame) -> DataFrame:
+    """token, id, n, pos of the shingles in common, and of a few that share their bit."""
+    shared = classes.sparkSession.sparkContext.broadcast(_marks(common.select(F.col("token").alias("id"))))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            size = np.array([len(p) for p in f["prefix"]])
+            token = np.concatenate([np.asarray(p, np.int64) for p in f["prefix"]])
+            pos = np.arange(token.size) - np.repeat(np.cumsum(size) - size, size)
+            keep = _marked(shared.value, token)
+            yield pd.DataFrame({"token": token, "id": np.repeat(f["id"].to_numpy(), size), "n": np.repeat(f["n"].to_numpy(), size), "pos": pos})[keep]
+
+    return classes.select("id", "n", "prefix").mapInPandas(run, "token long, id long, n long, pos int")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, c: the smallest vertex that each vertex of the edges (a, b) reaches."""
     both = cut(edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a")).distinct())
@@ -126,38 +177,48 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     docs = texts(docs)
     signed = _signed(docs, k, percent)
     classes = cut(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    rows = classes.select("id", "n", F.explode("prefix").alias("token"))
-    common = rows.groupBy("token").agg(F.min("id").alias("first"), F.count("*").alias("df")).where("df > 1")
-    posted = cut(rows.join(common, "token").select("token", "id", "n", "first"))
-    involved = posted.select(F.col("id").alias("doc_id")).distinct()
-    sets = cut(_sets(docs.join(involved, "doc_id", "left_semi"), k).groupBy("id").agg(F.first("tokens").alias("tokens")))
-
-    leaders = posted.groupBy(F.col("id").alias("b")).agg(F.min("first").alias("a")).where("a < b")
-    near = cut(_verified(leaders, sets, percent))
-    grouped = cut(posted.join(near.select(F.col("b").alias("id"), F.col("a").alias("lead")), "id", "left").withColumn("g", F.coalesce("lead", "id")).select("token", "id", "n", "g"))
+    tokens = classes.select("id", F.explode("prefix").alias("token"))
+    common = cut(tokens.groupBy("token").agg(F.min("id").alias("first"), F.count("*").alias("df")).where("df > 1").select("token", "first"))
+    rows = _postings(classes, common)
+    posted = cut(rows.join(common, "token"))
+
+    # the first class of a shingle's list is a leader for the rest; the one that most shingles name is tried
+    named = posted.where("first < id").groupBy("id", "first").agg(F.count("*").alias("o"))
+    leaders = cut(named.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("o", (-F.col("first")).alias("x"))).alias("m")).select((-F.col("m.x")).alias("a"), "b"))
+    ends = lambda e: e.select(F.col("a").alias("id")).union(e.select("b"))
+    width = classes.select("id", "n")
+    sized = leaders.join(width.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(width.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    tried = cut(sized.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b"))
+    near = cut(_verified(tried, _sets(docs, ends(tried), k), percent))
+
+    grouped = cut(posted.drop("first").join(near.select(F.col("b").alias("id"), F.col("a").alias("lead")), "id", "left").withColumn("g", F.coalesce("lead", "id")))
     sizes = grouped.select("id", "n", "g").distinct()
     spans = sizes.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"))
-    matrix = grouped.select("token", "g").distinct()
+    matrix = grouped.groupBy("token", "g").agg(F.min("pos").alias("gpos"))
+    # after the last shingle that both prefixes share, at most the rest of the shorter can be shared
     met = (
-        grouped.select("token", "id", "n", F.col("g").alias("own"))
+        grouped.select("token", "id", "n", "pos", F.col("g").alias("own"))
         .join(matrix, "token")
         .where("g < own")
-        .select("id", "n", "g")
-        .distinct()
+        .groupBy("id", "n", "g")
+        .agg(F.count("*").alias("o"), F.max("pos").alias("pos"), F.max("gpos").alias("gpos"))
         .join(spans, "g")
         .where((100 * F.col("n") >= percent * F.col("least")) & (percent * F.col("n") <= 100 * F.col("most")))
     )
-    met = cut(met)
+    left = F.col("o") + F.least(F.col("n") - F.col("pos"), F.col("most") - F.col("gpos")) - 1
+    met = cut(met.where((F.col("members") > 1) | ((100 + percent) * left >= percent * (F.col("n") + F.col("most")))).select("id", "n", "g", "members"))
     single = met.where("members = 1").select(F.col("g").alias("a"), F.col("id").alias("b"))
     several = met.where("members > 1").select("id", "g", F.col("n").alias("nq"))
-    union = sizes.join(several.select("g").distinct(), "g", "left_semi").join(sets, "id").select("g", F.explode("tokens").alias("token")).distinct()
+    inside = sizes.join(several.select("g").distinct(), "g", "left_semi")
+    sets = _sets(docs, ends(single).union(several.select("id")).union(inside.select("id")).distinct(), k)
+    union = inside.join(sets, "id").select("g", F.explode("tokens").alias("token")).distinct()
     asked = several.join(sets, "id").select("id", "g", "nq", F.explode("tokens").alias("token"))
     open_ = asked.join(union, ["g", "token"]).groupBy("id", "g", "nq").agg(F.count("*").alias("bound")).where(F.col("bound") * 100 >= percent * F.col("nq"))
-    opened = open_.join(sizes.select("g", F.col("id").alias("a"), "n"), "g").where((100 * F.col("nq") >= percent * F.col("n")) & (percent * F.col("nq") <= 100 * F.col("n")))
+    opened = open_.join(sizes.select("g", F.col("id").alias("a"), "n"), "g").where((100 * F.col("nq") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("nq")))
     more = _verified(single.union(opened.select("a", F.col("id").alias("b"))), sets, percent)
     found = components(near.union(more)).select(F.col("v").alias("id"), "c")
-    named = classes.select("key", "id").join(found, "id", "left").select("key", F.coalesce("c", "id").alias("c"))
-    return signed.select("doc_id", "n", "key").join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
+    ids = classes.select("key", "id").join(found, "id", "left").select("key", F.coalesce("c", "id").alias("c"))
+    return signed.select("doc_id", "n", "key").join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
