@@ -29,6 +29,21 @@ def _bigrams(words):
     return F.array_distinct(F.transform(F.sequence(F.lit(2), F.greatest(F.size(words), F.lit(2))), pair))
 
 
+def anchors(bodies: list[list[str]], dice: float) -> list[str]:
+    """Words of which each admissible line has one. A match shares at least dice / 2 of a template's bigrams, so words,
+    the longest first, are taken until the bigrams without any of them are fewer than that."""
+    out: set[str] = set()
+    for words in bodies:
+        pairs = {*zip(words, words[1:])}
+        own = {w for w in words if w in out}
+        for w in sorted({*words}, key=lambda w: (-len(w), w)):
+            if sum(own.isdisjoint(p) for p in pairs) < dice / 2 * len(pairs):
+                break
+            own.add(w)
+        out |= own
+    return sorted(out)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = DICE) -> DataFrame:
     """doc_id, license, line_no, dice: every line, whatever its length, that is at least dice like a template, with each such template.
 
@@ -39,9 +54,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float = D
     known = spark.createDataFrame(list(templates.items()), "license string, body string").withColumn("tw", _words(F.col("body"))).withColumn("tb", _bigrams(F.col("tw")))
     sizes = [r.n for r in known.select(F.size("tb").alias("n")).collect()]
     low, high = min(sizes) * dice / (2 - dice), max(sizes) * (2 - dice) / dice
-    lines = texts(docs).select("doc_id", F.posexplode(F.split("text", r"\n")).alias("line_no", "line"))
+    words = [r.tw for r in known.select("tw").collect()]
+    some = "|".join(anchors(words, dice))
+    lines = texts(docs).where(F.lower("text").rlike(some)).select("doc_id", F.posexplode(F.split("text", r"\n")).alias("line_no", "line"))
     # too few characters or words for any admissible bigram set; explode keeps each expression evaluated once
-    long = lines.where(F.length("line") >= 2 * low)
+    long = lines.where((F.length("line") >= 2 * low) & F.lower("line").rlike(some))
     sized = long.select("doc_id", "line_no", F.explode(F.array(_words(F.col("line")))).alias("w")).where((F.size("w") >= 2) & (F.size("w") - 1 >= low))
     sets = sized.select("doc_id", "line_no", F.explode(F.array(_bigrams(F.col("w")))).alias("b")).withColumn("n", F.size("b")).where((F.col("n") >= low) & (F.col("n") <= high))
     m = F.size("tb")
