@@ -47,6 +47,7 @@ class Index:
         self.items = [(i, t) for i, t in items if t]
         self.budgets = [int(ERRORS * len(t)) for _, t in self.items]
         self.need = np.array([max(1, len(t) - Q + 1 - k * Q) for (_, t), k in zip(self.items, self.budgets, strict=True)])
+        self.wide = np.array(self.budgets, int) + 1
         codes = [grams(t) for _, t in self.items]
         code = np.concatenate([*codes, np.zeros(0, np.uint64)])
         order = np.argsort(code, kind="stable")
@@ -66,11 +67,15 @@ class Index:
             n = hi - lo
             rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             item, diagonal = self.item[rows], np.repeat(pos, n) - self.at[rows]
-            wide = np.array(self.budgets, int)[item] + 1 if item.size else item
+            # an item with too few grams in the whole text has too few in any band
+            some = np.bincount(item, minlength=self.need.size)[item] >= self.need[item]
+            item, diagonal = item[some], diagonal[some]
+            wide = self.wide[item]
             for half in (0, 1):  # bands of twice the budget, each overlapping the next by half
                 band = (diagonal + (1 << 20) * wide + half * wide) // (2 * wide)
-                pairs, counts = np.unique(np.stack([item, band]), axis=1, return_counts=True) if item.size else (np.zeros((2, 0), int), np.zeros(0, int))
-                for k, b in pairs[:, counts >= self.need[pairs[0]]].T.tolist():
+                keys, counts = np.unique(item << 40 | band, return_counts=True)
+                keys = keys[counts >= self.need[keys >> 40]]
+                for k, b in zip((keys >> 40).tolist(), (keys & (1 << 40) - 1).tolist(), strict=True):
                     budget = self.budgets[k]
                     start = max(0, b * 2 * (budget + 1) - (1 << 20) * (budget + 1) - half * (budget + 1) - budget)
                     size = len(self.items[k][1])
