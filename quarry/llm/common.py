@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Shelf:
+    """Tables of one run in the shared folder: compressed columns in place of checkpoints, each put away once it is used up."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='quarry-')}/shelf-{uuid.uuid4().hex}"
+        self.held = 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """Write df and read it again; lineage ends there."""
+        self.held += 1
+        path = f"{self.folder}/{self.held}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.place = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no unfinished result reads."""
+        hadoop = self.spark._jsc.hadoopConfiguration()
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(t.place)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text, null texts as empty ones."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

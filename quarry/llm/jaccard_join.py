@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, table, texts
+from quarry.llm.common import Shelf, table, texts
 from quarry.llm.features import A, B, Words, hashes, words_of
 
 #: Frequent shingles that the order puts last: at most so many, those found in FREQUENT documents of a batch.
@@ -88,7 +88,7 @@ def _bit(ids: np.ndarray) -> np.ndarray:
     return (ids.astype(np.uint64) * A) >> np.uint64(64 - BITMAP)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+def _sets(shelf: Shelf, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """id, tokens of the documents with these ids, and of a few that share their bit: texts needn't move to be picked."""
     shared = docs.sparkSession.sparkContext.broadcast(_marks(ids))
 
@@ -99,10 +99,10 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             if len(f):
                 yield pd.DataFrame({"id": f["doc_id"], "tokens": [shingles(t, k, memo).view(np.int64) for t in f["text"]]})
 
-    return cut(docs.mapInPandas(run, "id long, tokens array<long>"))
+    return shelf.put(docs.mapInPandas(run, "id long, tokens array<long>"))
 
 
-def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _signed(shelf: Shelf, docs: DataFrame, k: int, percent: int) -> DataFrame:
     often = _frequent(docs, k)
     order = np.argsort(often)
     shared = docs.sparkSession.sparkContext.broadcast((often[order], order))
@@ -127,7 +127,7 @@ def _signed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 rows.append((s.size, key, prefix.view(np.int64)))
             yield pd.DataFrame(rows, columns=["n", "key", "prefix"]).assign(doc_id=f["doc_id"])[["doc_id", "n", "key", "prefix"]]
 
-    return cut(docs.mapInPandas(run, "doc_id long, n long, key binary, prefix array<long>"))
+    return shelf.put(docs.mapInPandas(run, "doc_id long, n long, key binary, prefix array<long>"))
 
 
 def _postings(classes: DataFrame, common: DataFrame) -> DataFrame:
@@ -145,18 +145,21 @@ def _postings(classes: DataFrame, common: DataFrame) -> DataFrame:
     return classes.select("id", "n", "prefix").mapInPandas(run, "token long, id long, n long, pos int")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
     """v, c: the smallest vertex that each vertex of the edges (a, b) reaches."""
-    both = cut(edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a")).distinct())
-    label = cut(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("c")))
+    both = shelf.put(edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a")).distinct())
+    label = shelf.put(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("c")).withColumn("old", F.lit(None).cast("long")))
     while True:
-        near = both.join(label.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("near"))
-        low = label.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "near").alias("c"))
-        jump = low.join(label.select(F.col("v").alias("c"), F.col("c").alias("far")), "c")
-        new = cut(jump.select("v", "old", F.least("c", "far").alias("c")))
-        label = new.select("v", "c")
+        known = label.select("v", "c")
+        near = both.join(known.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("near"))
+        low = known.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "near").alias("c"))
+        jump = low.join(known.select(F.col("v").alias("c"), F.col("c").alias("far")), "c")
+        new = shelf.put(jump.select("v", F.least("c", "far").alias("c"), "old"))
+        shelf.drop(label)
+        label = new
         if new.where("old <> c").isEmpty():
-            return label
+            shelf.drop(both)
+            return new.select("v", "c")
 
 
 def _alike(percent: int) -> Column:
@@ -174,25 +177,32 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Words are [^ \\x09-\\x0D]+ with A-Z lower-cased. Null, empty and blank texts have no shingles and link with nothing;
     repeated rows are rows of one class; an empty table gives none; other columns are ignored."""
-    docs = texts(docs)
-    signed = _signed(docs, k, percent)
-    classes = cut(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    docs, shelf = texts(docs), Shelf(docs.sparkSession)
+    signed = _signed(shelf, docs, k, percent)
+    classes = shelf.put(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    keys = shelf.put(signed.select("doc_id", "n", "key"))
+    shelf.drop(signed)
     tokens = classes.select("id", F.explode("prefix").alias("token"))
-    common = cut(tokens.groupBy("token").agg(F.min("id").alias("first"), F.count("*").alias("df")).where("df > 1").select("token", "first"))
+    common = shelf.put(tokens.groupBy("token").agg(F.min("id").alias("first"), F.count("*").alias("df")).where("df > 1").select("token", "first"))
     rows = _postings(classes, common)
-    posted = cut(rows.join(common, "token"))
+    posted = shelf.put(rows.join(common, "token"))
+    heads = shelf.put(classes.select("key", "id", "n"))
+    shelf.drop(common, classes)
 
     # the first class of a shingle's list is a leader for the rest; the one that most shingles name is tried
     named = posted.where("first < id").groupBy("id", "first").agg(F.count("*").alias("o"))
-    leaders = cut(named.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("o", (-F.col("first")).alias("x"))).alias("m")).select((-F.col("m.x")).alias("a"), "b"))
+    leaders = shelf.put(named.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("o", (-F.col("first")).alias("x"))).alias("m")).select((-F.col("m.x")).alias("a"), "b"))
     ends = lambda e: e.select(F.col("a").alias("id")).union(e.select("b"))
-    width = classes.select("id", "n")
+    width = heads.select("id", "n")
     sized = leaders.join(width.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(width.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    tried = cut(sized.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b"))
-    near = cut(_verified(tried, _sets(docs, ends(tried), k), percent))
-
-    grouped = cut(posted.drop("first").join(near.select(F.col("b").alias("id"), F.col("a").alias("lead")), "id", "left").withColumn("g", F.coalesce("lead", "id")))
-    sizes = grouped.select("id", "n", "g").distinct()
+    tried = shelf.put(sized.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b"))
+    first = _sets(shelf, docs, ends(tried), k)
+    near = shelf.put(_verified(tried, first, percent))
+    shelf.drop(leaders, tried, first)
+
+    grouped = shelf.put(posted.drop("first").join(near.select(F.col("b").alias("id"), F.col("a").alias("lead")), "id", "left").withColumn("g", F.coalesce("lead", "id")))
+    shelf.drop(posted)
+    sizes = shelf.put(grouped.select("id", "n", "g").distinct())
     spans = sizes.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"))
     matrix = grouped.groupBy("token", "g").agg(F.min("pos").alias("gpos"))
     # after the last shingle that both prefixes share, at most the rest of the shorter can be shared
@@ -206,19 +216,21 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         .where((100 * F.col("n") >= percent * F.col("least")) & (percent * F.col("n") <= 100 * F.col("most")))
     )
     left = F.col("o") + F.least(F.col("n") - F.col("pos"), F.col("most") - F.col("gpos")) - 1
-    met = cut(met.where((F.col("members") > 1) | ((100 + percent) * left >= percent * (F.col("n") + F.col("most")))).select("id", "n", "g", "members"))
+    met = shelf.put(met.where((F.col("members") > 1) | ((100 + percent) * left >= percent * (F.col("n") + F.col("most")))).select("id", "n", "g", "members"))
+    shelf.drop(grouped)
     single = met.where("members = 1").select(F.col("g").alias("a"), F.col("id").alias("b"))
     several = met.where("members > 1").select("id", "g", F.col("n").alias("nq"))
     inside = sizes.join(several.select("g").distinct(), "g", "left_semi")
-    sets = _sets(docs, ends(single).union(several.select("id")).union(inside.select("id")).distinct(), k)
+    sets = _sets(shelf, docs, ends(single).union(several.select("id")).union(inside.select("id")).distinct(), k)
     union = inside.join(sets, "id").select("g", F.explode("tokens").alias("token")).distinct()
     asked = several.join(sets, "id").select("id", "g", "nq", F.explode("tokens").alias("token"))
     open_ = asked.join(union, ["g", "token"]).groupBy("id", "g", "nq").agg(F.count("*").alias("bound")).where(F.col("bound") * 100 >= percent * F.col("nq"))
     opened = open_.join(sizes.select("g", F.col("id").alias("a"), "n"), "g").where((100 * F.col("nq") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("nq")))
-    more = _verified(single.union(opened.select("a", F.col("id").alias("b"))), sets, percent)
-    found = components(near.union(more)).select(F.col("v").alias("id"), "c")
-    ids = classes.select("key", "id").join(found, "id", "left").select("key", F.coalesce("c", "id").alias("c"))
-    return signed.select("doc_id", "n", "key").join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
+    more = shelf.put(_verified(single.union(opened.select("a", F.col("id").alias("b"))), sets, percent))
+    shelf.drop(sets, met, sizes)
+    found = components(near.union(more), shelf).select(F.col("v").alias("id"), "c")
+    ids = heads.select("key", "id").join(found, "id", "left").select("key", F.coalesce("c", "id").alias("c"))
+    return keys.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
