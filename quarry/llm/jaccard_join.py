@@ -4,7 +4,8 @@ Documents of equal shingle sets are one class. Classes that share rare shingles
 alike by exact intersection, form a group around it. The matrix holds which shingles each group's union has. Another
 class can have a link into a group only if it shares a prefix shingle (the rarest n - ceil(t * n) + 1, in an order that all
 documents use) with it, and if its overlap with the group's union reaches t * n; only such groups are opened and their
-members compared, each exactly. No candidate is dropped: the order of shingles affects speed alone.
+members compared, each exactly; a sketch of parities, of which each shingle flips one bit, first bounds how many shingles
+two documents can't share, and pairs that it rules out aren't compared. No candidate is dropped: the order of shingles affects speed alone.
 """
 
 from __future__ import annotations
@@ -102,6 +103,30 @@ def _sets(shelf: Shelf, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return shelf.put(docs.mapInPandas(run, "id long, tokens array<long>"))
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """A bit for the parity of each of 2**k bins of the set, about as many bins as shingles."""
+    bins = 1 << max(6, int(s.size - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).astype(np.uint8)).tobytes()
+
+
+def _differ(one: bytes, two: bytes) -> int:
+    """At least so many shingles are in one of the two sets alone: each flips one bit."""
+    x, y = sorted((np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, x.size))).sum())
+
+
+def _close(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose sketches don't rule a link out."""
+    side = lambda x: heads.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            least = np.fromiter(map(_differ, f["sa"], f["sb"]), np.int64, len(f))
+            yield f.loc[(100 + percent) * least <= (100 - percent) * (f["na"] + f["nb"]).to_numpy(), ["a", "b"]]
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
+
+
 def _signed(shelf: Shelf, docs: DataFrame, k: int, percent: int) -> DataFrame:
     often = _frequent(docs, k)
     order = np.argsort(often)
@@ -124,10 +149,10 @@ def _signed(shelf: Shelf, docs: DataFrame, k: int, percent: int) -> DataFrame:
                     prefix = s[np.lexsort((s, place))[:keep]]
                 else:
                     prefix = s
-                rows.append((s.size, key, prefix.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["n", "key", "prefix"]).assign(doc_id=f["doc_id"])[["doc_id", "n", "key", "prefix"]]
+                rows.append((s.size, key, prefix.view(np.int64), _sketch(s)))
+            yield pd.DataFrame(rows, columns=["n", "key", "prefix", "sketch"]).assign(doc_id=f["doc_id"].to_numpy())[["doc_id", "n", "key", "prefix", "sketch"]]
 
-    return shelf.put(docs.mapInPandas(run, "doc_id long, n long, key binary, prefix array<long>"))
+    return shelf.put(docs.mapInPandas(run, "doc_id long, n long, key binary, prefix array<long>, sketch binary"))
 
 
 def _postings(classes: DataFrame, common: DataFrame) -> DataFrame:
@@ -179,14 +204,14 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     repeated rows are rows of one class; an empty table gives none; other columns are ignored."""
     docs, shelf = texts(docs), Shelf(docs.sparkSession)
     signed = _signed(shelf, docs, k, percent)
-    classes = shelf.put(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    classes = shelf.put(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
     keys = shelf.put(signed.select("doc_id", "n", "key"))
     shelf.drop(signed)
     tokens = classes.select("id", F.explode("prefix").alias("token"))
     common = shelf.put(tokens.groupBy("token").agg(F.min("id").alias("first"), F.count("*").alias("df")).where("df > 1").select("token", "first"))
     rows = _postings(classes, common)
     posted = shelf.put(rows.join(common, "token"))
-    heads = shelf.put(classes.select("key", "id", "n"))
+    heads = shelf.put(classes.select("key", "id", "n", "sketch"))
     shelf.drop(common, classes)
 
     # the first class of a shingle's list is a leader for the rest; the one that most shingles name is tried
@@ -195,7 +220,8 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ends = lambda e: e.select(F.col("a").alias("id")).union(e.select("b"))
     width = heads.select("id", "n")
     sized = leaders.join(width.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(width.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    tried = shelf.put(sized.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b"))
+    fit = sized.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b")
+    tried = shelf.put(_close(fit, heads, percent))
     first = _sets(shelf, docs, ends(tried), k)
     near = shelf.put(_verified(tried, first, percent))
     shelf.drop(leaders, tried, first)
@@ -218,7 +244,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     left = F.col("o") + F.least(F.col("n") - F.col("pos"), F.col("most") - F.col("gpos")) - 1
     met = shelf.put(met.where((F.col("members") > 1) | ((100 + percent) * left >= percent * (F.col("n") + F.col("most")))).select("id", "n", "g", "members"))
     shelf.drop(grouped)
-    single = met.where("members = 1").select(F.col("g").alias("a"), F.col("id").alias("b"))
+    single = shelf.put(_close(met.where("members = 1").select(F.col("g").alias("a"), F.col("id").alias("b")), heads, percent))
     several = met.where("members > 1").select("id", "g", F.col("n").alias("nq"))
     inside = sizes.join(several.select("g").distinct(), "g", "left_semi")
     sets = _sets(shelf, docs, ends(single).union(several.select("id")).union(inside.select("id")).distinct(), k)
@@ -226,8 +252,9 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     asked = several.join(sets, "id").select("id", "g", "nq", F.explode("tokens").alias("token"))
     open_ = asked.join(union, ["g", "token"]).groupBy("id", "g", "nq").agg(F.count("*").alias("bound")).where(F.col("bound") * 100 >= percent * F.col("nq"))
     opened = open_.join(sizes.select("g", F.col("id").alias("a"), "n"), "g").where((100 * F.col("nq") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("nq")))
-    more = shelf.put(_verified(single.union(opened.select("a", F.col("id").alias("b"))), sets, percent))
-    shelf.drop(sets, met, sizes)
+    inner = _close(opened.select("a", F.col("id").alias("b")), heads, percent)
+    more = shelf.put(_verified(single.union(inner), sets, percent))
+    shelf.drop(sets, single, met, sizes)
     found = components(near.union(more), shelf).select(F.col("v").alias("id"), "c")
     ids = heads.select("key", "id").join(found, "id", "left").select("key", F.coalesce("c", "id").alias("c"))
     return keys.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
