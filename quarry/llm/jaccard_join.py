@@ -4,7 +4,8 @@ Documents of equal shingle sets are one class. Classes that share rare shingles
 alike by exact intersection, form a group around it. The matrix holds which shingles each group's union has. Another
 class can have a link into a group only if it shares a prefix shingle (the rarest n - ceil(t * n) + 1, in an order that all
 documents use) with it, and if its overlap with the group's union reaches t * n; only such groups are opened and their
-members compared, each exactly; a sketch of parities, of which each shingle flips one bit, first bounds how many shingles
+members compared, each exactly. One link joins a class to a group, so its few members with most shared shingles come first,
+and groups that are by then in one component with the class stay closed. A sketch of parities, of which each shingle flips one bit, first bounds how many shingles
 two documents can't share, and pairs that it rules out aren't compared. No candidate is dropped: the order of shingles affects speed alone.
 """
 
@@ -16,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm.common import Shelf, table, texts
 from quarry.llm.features import A, B, Words, hashes, words_of
@@ -23,6 +25,8 @@ from quarry.llm.features import A, B, Words, hashes, words_of
 #: Frequent shingles that the order puts last: at most so many, those found in FREQUENT documents of a batch.
 HINTS, FREQUENT = 100_000, 8
 BITMAP = 26
+#: Members of a group that a class is compared with before the whole group.
+CENTRES = 8
 
 
 def shingles(text: str, k: int, memo: Words) -> np.ndarray:
@@ -115,14 +119,17 @@ def _differ(one: bytes, two: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, x.size))).sum())
 
 
-def _close(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose sketches don't rule a link out."""
+def _close(pairs: DataFrame, heads: DataFrame, percent: int, beyond: bool = False) -> DataFrame:
+    """The pairs a, b whose sketches don't rule a link out; beyond: a link of b to any set that a has a link to.
+
+    Jaccard distance is a metric, so in that case the similarity of a and b is 2 * percent - 100 at least."""
+    share = percent if beyond else (100 + percent)
     side = lambda x: heads.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             least = np.fromiter(map(_differ, f["sa"], f["sb"]), np.int64, len(f))
-            yield f.loc[(100 + percent) * least <= (100 - percent) * (f["na"] + f["nb"]).to_numpy(), ["a", "b"]]
+            yield f.loc[share * least <= (100 - percent) * (f["na"] + f["nb"]).to_numpy(), ["a", "b"]]
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
@@ -228,7 +235,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     grouped = shelf.put(posted.drop("first").join(near.select(F.col("b").alias("id"), F.col("a").alias("lead")), "id", "left").withColumn("g", F.coalesce("lead", "id")))
     shelf.drop(posted)
-    sizes = shelf.put(grouped.select("id", "n", "g").distinct())
+    sizes = shelf.put(grouped.groupBy("id", "n", "g").agg(F.count("*").alias("o")))
     spans = sizes.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"))
     matrix = grouped.groupBy("token", "g").agg(F.min("pos").alias("gpos"))
     # after the last shingle that both prefixes share, at most the rest of the shorter can be shared
@@ -245,17 +252,34 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     met = shelf.put(met.where((F.col("members") > 1) | ((100 + percent) * left >= percent * (F.col("n") + F.col("most")))).select("id", "n", "g", "members"))
     shelf.drop(grouped)
     single = shelf.put(_close(met.where("members = 1").select(F.col("g").alias("a"), F.col("id").alias("b")), heads, percent))
-    several = met.where("members > 1").select("id", "g", F.col("n").alias("nq"))
+    several = shelf.put(_close(met.where("members > 1").select(F.col("g").alias("a"), F.col("id").alias("b")), heads, percent, beyond=True).select(F.col("a").alias("g"), F.col("b").alias("id")))
+    shelf.drop(met)
+    # one link joins a class to a group, so the members with most shared shingles are tried first
     inside = sizes.join(several.select("g").distinct(), "g", "left_semi")
-    sets = _sets(shelf, docs, ends(single).union(several.select("id")).union(inside.select("id")).distinct(), k)
-    union = inside.join(sets, "id").select("g", F.explode("tokens").alias("token")).distinct()
-    asked = several.join(sets, "id").select("id", "g", "nq", F.explode("tokens").alias("token"))
-    open_ = asked.join(union, ["g", "token"]).groupBy("id", "g", "nq").agg(F.count("*").alias("bound")).where(F.col("bound") * 100 >= percent * F.col("nq"))
-    opened = open_.join(sizes.select("g", F.col("id").alias("a"), "n"), "g").where((100 * F.col("nq") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("nq")))
-    inner = _close(opened.select("a", F.col("id").alias("b")), heads, percent)
-    more = shelf.put(_verified(single.union(inner), sets, percent))
-    shelf.drop(sets, single, met, sizes)
-    found = components(near.union(more), shelf).select(F.col("v").alias("id"), "c")
+    best = Window.partitionBy("g").orderBy(F.desc(F.col("o") / F.col("n")), "id")
+    inner = inside.withColumn("r", F.row_number().over(best)).where(F.col("r") <= CENTRES).select("g", F.col("id").alias("a"))
+    tests = shelf.put(single.union(_close(several.join(inner, "g").select("a", F.col("id").alias("b")), heads, percent)))
+    sets = _sets(shelf, docs, ends(tests), k)
+    links = shelf.put(near.union(_verified(tests, sets, percent)))
+    shelf.drop(single, tests, sets)
+    found = components(links, shelf)
+    own, of = found.select(F.col("v").alias("id"), F.col("c").alias("ci")), found.select(F.col("v").alias("g"), F.col("c").alias("cg"))
+    apart = F.coalesce("ci", "id") != F.coalesce("cg", "g")
+    rest = shelf.put(several.join(own, "id", "left").join(of, "g", "left").where(apart).join(width, "id").select("id", "g", F.col("n").alias("nq")))
+    if not rest.isEmpty():
+        inside = sizes.join(rest.select("g").distinct(), "g", "left_semi")
+        sets = _sets(shelf, docs, rest.select("id").union(inside.select("id")).distinct(), k)
+        union = inside.join(sets, "id").select("g", F.explode("tokens").alias("token")).distinct()
+        asked = rest.join(sets, "id").select("id", "g", "nq", F.explode("tokens").alias("token"))
+        open_ = asked.join(union, ["g", "token"]).groupBy("id", "g", "nq").agg(F.count("*").alias("bound")).where(F.col("bound") * 100 >= percent * F.col("nq"))
+        opened = open_.join(sizes.select("g", F.col("id").alias("a"), "n"), "g").where((100 * F.col("nq") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("nq")))
+        inner = _close(opened.select("a", F.col("id").alias("b")), heads, percent)
+        more = shelf.put(_verified(inner, sets, percent))
+        shelf.drop(sets)
+        if not more.isEmpty():
+            found = components(links.union(more), shelf)
+    shelf.drop(links, near, several, sizes, rest)
+    found = found.select(F.col("v").alias("id"), "c")
     ids = heads.select("key", "id").join(found, "id", "left").select("key", F.coalesce("c", "id").alias("c"))
     return keys.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
 
