@@ -27,6 +27,8 @@ HINTS, FREQUENT = 100_000, 8
 BITMAP = 26
 #: Members of a group that a class is compared with before the whole group.
 CENTRES = 8
+#: Members, and classes asked about, of one group that go into a block, on average.
+BLOCK = 64
 
 
 def shingles(text: str, k: int, memo: Words) -> np.ndarray:
@@ -134,6 +136,32 @@ def _close(pairs: DataFrame, heads: DataFrame, percent: int, beyond: bool = Fals
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
+def _close_in_blocks(asked: DataFrame, inside: DataFrame, spans: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs a (a member), b of each class id and group g of asked that sketches don't rule out.
+
+    Every class meets every member of its group, block by block, so that rows are pairs of blocks and not pairs of documents."""
+
+    def packed(rows: DataFrame, name: str) -> DataFrame:
+        by = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK))
+        return rows.join(heads.select("id", "n", "sketch"), "id").groupBy("g", by.alias(name + "k")).agg(*[F.collect_list(F.struct("id", "n", "sketch")).alias(name)])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for left, right in zip(f["x"], f["y"], strict=True):
+                found = [
+                    (m["id"], q["id"])
+                    for q in left
+                    for m in right
+                    if 100 * min(q["n"], m["n"]) >= percent * max(q["n"], m["n"]) and (100 + percent) * _differ(q["sketch"], m["sketch"]) <= (100 - percent) * (q["n"] + m["n"])
+                ]
+                yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    queries = asked.select("id", "g").join(asked.groupBy("g").agg(F.count("*").alias("members")), "g")
+    members = inside.select("id", "g").join(spans.select("g", "members"), "g")
+    blocks = packed(queries, "x").join(packed(members, "y"), "g")
+    return blocks.select("x", "y").mapInPandas(run, "a long, b long")
+
+
 def _signed(shelf: Shelf, docs: DataFrame, k: int, percent: int) -> DataFrame:
     often = _frequent(docs, k)
     order = np.argsort(often)
@@ -271,9 +299,11 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         sets = _sets(shelf, docs, rest.select("id").union(inside.select("id")).distinct(), k)
         union = inside.join(sets, "id").select("g", F.explode("tokens").alias("token")).distinct()
         asked = rest.join(sets, "id").select("id", "g", "nq", F.explode("tokens").alias("token"))
-        open_ = asked.join(union, ["g", "token"]).groupBy("id", "g", "nq").agg(F.count("*").alias("bound")).where(F.col("bound") * 100 >= percent * F.col("nq"))
-        opened = open_.join(sizes.select("g", F.col("id").alias("a"), "n"), "g").where((100 * F.col("nq") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("nq")))
-        inner = _close(opened.select("a", F.col("id").alias("b")), heads, percent)
+        held = asked.join(union, ["g", "token"]).groupBy("id", "g", "nq").agg(F.count("*").alias("bound")).join(spans, "g")
+        # a member has as many shingles as the least of the group, and as a link to the class asks for
+        fewest = F.greatest("least", F.ceil(percent * F.col("nq") / 100))
+        open_ = held.where((100 + percent) * F.col("bound") >= percent * (F.col("nq") + fewest)).select("id", "g", "nq")
+        inner = _close_in_blocks(open_, inside, spans, heads, percent)
         more = shelf.put(_verified(inner, sets, percent))
         shelf.drop(sets)
         if not more.isEmpty():
