@@ -78,7 +78,7 @@ def _marks(ids: DataFrame) -> np.ndarray:
     def merged(f: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": f["part"][:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in f["bits"]]).tobytes()]})
 
-    few = ids.repartition(8, "id").mapInPandas(run, "part long, bits binary")
+    few = ids.distinct().repartition(8, "id").mapInPandas(run, "part long, bits binary")
     out = np.zeros((1 << BITMAP) // 8, np.uint8)
     size = out.size // 64
     for r in few.groupBy("part").applyInPandas(merged, "part long, bits binary").collect():
