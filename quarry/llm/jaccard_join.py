@@ -1,6 +1,6 @@
 """N-gram Jaccard join over a token-group matrix.
 
-Documents of equal shingle sets are one class. Classes that share rare shingles with an earlier class, and are proven
+Documents of equal shingle sets are one class. Classes that share rare shingles with a leading class, and are proven
 alike by exact intersection, form a group around it. The matrix holds which shingles each group's union has. Another
 class can have a link into a group only if it shares a prefix shingle (the rarest n - ceil(t * n) + 1, in an order that all
 documents use) with it, and if its overlap with the group's union reaches t * n; only such groups are opened and their
@@ -243,14 +243,18 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     keys = shelf.put(signed.select("doc_id", "n", "key"))
     shelf.drop(signed)
     tokens = classes.select("id", F.explode("prefix").alias("token"))
-    common = shelf.put(tokens.groupBy("token").agg(F.min("id").alias("first"), F.count("*").alias("df")).where("df > 1").select("token", "first"))
+    common = shelf.put(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"))
     rows = _postings(classes, common)
     posted = shelf.put(rows.join(common, "token"))
     heads = shelf.put(classes.select("key", "id", "n", "sketch"))
     shelf.drop(common, classes)
 
-    # the first class of a shingle's list is a leader for the rest; the one that most shingles name is tried
-    named = posted.where("first < id").groupBy("id", "first").agg(F.count("*").alias("o"))
+    # of the classes with a shingle, the one that has the largest part of its prefix in common with others leads the rest; of
+    # its leaders a class tries the one that most shingles name
+    common = posted.groupBy("id").agg(F.count("*").alias("o"))
+    part = F.struct(F.col("o") / F.col("n"), (-F.col("id")).alias("x"))
+    firsts = posted.join(common, "id").groupBy("token").agg((-F.max(part).getField("x")).alias("first"))
+    named = posted.join(firsts, "token").where("first <> id").groupBy("id", "first").agg(F.count("*").alias("o"))
     leaders = shelf.put(named.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("o", (-F.col("first")).alias("x"))).alias("m")).select((-F.col("m.x")).alias("a"), "b"))
     ends = lambda e: e.select(F.col("a").alias("id")).union(e.select("b"))
     width = heads.select("id", "n")
@@ -261,10 +265,10 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     near = shelf.put(_verified(tried, first, percent))
     shelf.drop(leaders, tried, first)
 
-    grouped = shelf.put(posted.drop("first").join(near.select(F.col("b").alias("id"), F.col("a").alias("lead")), "id", "left").withColumn("g", F.coalesce("lead", "id")))
+    grouped = shelf.put(posted.join(near.select(F.col("b").alias("id"), F.col("a").alias("lead")), "id", "left").withColumn("g", F.coalesce("lead", "id")))
     shelf.drop(posted)
     sizes = shelf.put(grouped.groupBy("id", "n", "g").agg(F.count("*").alias("o")))
-    spans = sizes.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"))
+    spans = sizes.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"), F.min("id").alias("sole"))
     matrix = grouped.groupBy("token", "g").agg(F.min("pos").alias("gpos"))
     # after the last shingle that both prefixes share, at most the rest of the shorter can be shared
     met = (
@@ -277,9 +281,9 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         .where((100 * F.col("n") >= percent * F.col("least")) & (percent * F.col("n") <= 100 * F.col("most")))
     )
     left = F.col("o") + F.least(F.col("n") - F.col("pos"), F.col("most") - F.col("gpos")) - 1
-    met = shelf.put(met.where((F.col("members") > 1) | ((100 + percent) * left >= percent * (F.col("n") + F.col("most")))).select("id", "n", "g", "members"))
+    met = shelf.put(met.where((F.col("members") > 1) | ((100 + percent) * left >= percent * (F.col("n") + F.col("most")))).select("id", "n", "g", "members", "sole"))
     shelf.drop(grouped)
-    single = shelf.put(_close(met.where("members = 1").select(F.col("g").alias("a"), F.col("id").alias("b")), heads, percent))
+    single = shelf.put(_close(met.where("members = 1").select(F.col("sole").alias("a"), F.col("id").alias("b")), heads, percent))
     several = shelf.put(_close(met.where("members > 1").select(F.col("g").alias("a"), F.col("id").alias("b")), heads, percent, beyond=True).select(F.col("a").alias("g"), F.col("b").alias("id")))
     shelf.drop(met)
     # one link joins a class to a group, so the members with most shared shingles are tried first

@@ -106,6 +106,11 @@ def test_jaccard_join(spark, docs, empty):
             texts[g * 8 + c] = prose(3) + " " + " ".join(copy) if c == 7 else " ".join(copy)
     got = rows(jaccard_join.linked(spark.createDataFrame([*texts.items()], "doc_id long, text string"), 5, 80))
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts, 5, 80)
+    # a leader that has a leader itself: its group has other members alone
+    base = [f"w{i}" for i in range(120)]
+    chain = {i: " ".join([*base[6 * i :], *(f"x{j}" for j in range(6 * i))]) for i in range(8)}
+    got = rows(jaccard_join.linked(spark.createDataFrame([*chain.items()], "doc_id long, text string"), 5, 80))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(chain, 5, 80)
     assert jaccard_join.linked(empty).count() == 0
 
 
