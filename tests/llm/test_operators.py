@@ -204,3 +204,13 @@ def test_pitman_yor_is_a_distribution():
             p = b.predict(s, np.array([64, 96, 128, 999], np.uint64), np.full(4, ctx))
             assert p.sum() == pytest.approx(1)
         b.sweep(s, k)
+
+
+def test_pitman_yor_has_a_restaurant_for_each_preceding_word(spark):
+    """Words with equal last bytes and equal counts lead to different words; only their own contexts tell which."""
+    lead = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}same" for k in range(60)]
+    data = [(i, f"{lead[i % 60]} then{i % 60}") for i in range(1200)]
+    data += [(5000, f"{lead[7]} then7"), (5001, f"{lead[7]} then8")]
+    got = rows(pitman_yor.score(spark.createDataFrame(data, "doc_id long, text string")))
+    assert got[5000].base_score == pytest.approx(got[5001].base_score, abs=0.5)
+    assert got[5000].score > got[5001].score + 1
