@@ -123,11 +123,14 @@ def blocks(nodes: list[Node]) -> str:
 
 
 def main_text(html: str) -> str:
-    """Paragraphs pass points for length and commas to their ancestors, less for each level; links discount a container."""
+    """Paragraphs pass points for length and commas to their ancestors, less for each level; links discount a container.
+
+    The best container shows where the text is, its points drop nothing: inside an article or main all outermost ones are
+    taken whole, but for others that are mostly links; elsewhere all that is not mostly links."""
     nodes = _walk(parse(html))
     for node in reversed(nodes):
         for k in node.kids:
-            node.chars += len(k) if isinstance(k, str) else k.chars
+            node.chars += (0 if k.isspace() else len(k)) if isinstance(k, str) else k.chars
             node.links += 0 if isinstance(k, str) else k.chars if k.tag == "a" else k.links
     touched = []
     for node in nodes:
@@ -146,14 +149,47 @@ def main_text(html: str) -> str:
     if best is None:
         best = next((n for n in nodes if n.tag in ("article", "main") and n.chars), None)
         return "" if best is None else blocks([best])
-    if best.up is None or best.tag in ("article", "main", "body"):
-        near = [k for k in best.up.kids if isinstance(k, Node) and (k is best or k.tag == best.tag == "article")] if best.up else [best]
-    else:
-        floor = max(5, 0.2 * best.score)
-        near = [k for k in best.up.kids if isinstance(k, Node) and (k is best or k.score >= floor or k.tag in ("p", "h1", "h2", "h3") and k.chars and k.links < 0.25 * k.chars)]
+    outer, up = None, best
+    while up is not None:
+        outer, up = up if up.tag in ("article", "main") else outer, up.up
+    if outer is None:
+        return blocks(_around(best))
+    near, stack = [], [nodes[0]]
+    while stack:
+        node = stack.pop()
+        if node.tag not in ("article", "main"):
+            stack += reversed([k for k in node.kids if isinstance(k, Node)])
+        elif node is outer or 2 * node.links < node.chars:
+            near.append(node)
     return blocks(near)
 
 
+def _around(best: Node) -> list:
+    """best and, on each level above it, blocks and runs of inline parts of which less than half is links."""
+    left, right, node = [], [], best
+    while node.up is not None:
+        sides, run, chars, links = ([], []), [], 0, 0
+        side = sides[0]
+        for k in [*node.up.kids, None]:
+            inline = isinstance(k, str) or k is not None and k is not node and k.tag not in BLOCK
+            if inline:
+                run.append(k)
+                chars += (0 if k.isspace() else len(k)) if isinstance(k, str) else k.chars
+                links += 0 if isinstance(k, str) else k.chars if k.tag == "a" else k.links
+                continue
+            if chars > 2 * links:
+                side += run
+            run, chars, links = [], 0, 0
+            if k is node:
+                side = sides[1]
+            elif k is not None and k.chars > 2 * k.links:
+                side.append(k)
+        left.append([*sides[0], Node("hr", None)])
+        right += [Node("hr", None), *sides[1]]
+        node = node.up
+    return [*(x for level in reversed(left) for x in level), best, *right]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row. Null and empty html, and pages without main text, give an empty text."""
 

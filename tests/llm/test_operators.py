@@ -162,6 +162,21 @@ def test_html():
     assert [html_text.main_text(x) for x in ("", "<", "<nav>a</nav>", "<article><p>cut &am", "<p>x</p>")] == ["", "", "", "cut &am", "x"]
 
 
+def test_html_keeps_all_of_a_long_article():
+    def page(long, short, open_="<article>", close="</article>"):
+        parts = "<ul><li>one</li></ul><table><tr><td>cell</td></tr></table><blockquote>said</blockquote><pre>code</pre><h4>sub</h4>"
+        return f"<body>{open_}<section>{long}</section><section>{short}{parts}</section>{parts}{close}"
+
+    long, short = "".join(f"<p>{'a, ' * 40}{k}</p>" for k in range(30)), "<p>short, one</p>"
+    tail = "one\ncell\nsaid\ncode\nsub"
+    first = "\n".join("a, " * 40 + str(k) for k in range(30))
+    for around in (("<article>", "</article>"), ("<main><div>", "</div></main>"), ("<div>", "</div>")):
+        assert html_text.main_text(page(long, short, *around)) == f"{first}\nshort, one\n{tail}\n{tail}"
+        assert html_text.main_text(page("<p>a</p>", short, *around)) == f"a\nshort, one\n{tail}\n{tail}"
+    links = "<div><a href=x>many</a> <a href=y>links</a></div><a href=z>more</a>"
+    assert html_text.main_text(f"<body>{links}<div>{long}</div>Told <a href=u>here</a> and there.<p>{links}") == f"{first}\nTold here and there."
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, None), (2, "u", "<p>ab</p>")], "page_id long, url string, html string")
     assert {(r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()} == {(1, "", 0), (2, "ab", 2)}
