@@ -19,40 +19,51 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe",
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 BLOCK = {"p", "div", "article", "section", "main", "body", "html", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figure", "figcaption", "hr", "address", "details", "summary"}
 CLOSES_P = BLOCK | {"nav", "header", "footer", "aside", "form", "fieldset"}
-BOILER = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "dialog", "menu"}
+BOILER = {"head", "nav", "header", "footer", "aside", "button", "select", "option", "dialog", "menu"}
 MARKS = {"nav", "navbar", "navigation", "menu", "header", "footer", "sidebar", "aside", "ad", "ads", "advert", "adverts", "advertisement", "banner", "cookie", "cookies", "consent", "notice", "notices", "notification", "alert", "promo", "sponsor", "sponsored", "comment", "comments", "disqus", "replies", "breadcrumb", "breadcrumbs", "share", "sharing", "social", "related", "newsletter", "subscribe", "popup", "modal", "search", "login", "contentinfo", "complementary", "masthead", "widget"}
+HEAD = {"title", "meta", "link", "base", "style", "script", "noscript", "template"}
+#: Tags that end an open element of the first set, unless one of the second is in between.
+ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "option": ({"option"}, {"select"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"tr"}, {"tbody", "thead", "tfoot", "table"}),
+    "tbody": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "thead": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
+}
 PARAGRAPH = {"p", "pre", "td", "blockquote", "li", "dd"}
 
 
 class Node:
-    __slots__ = ("chars", "kids", "links", "score", "tag", "up")
+    __slots__ = ("chars", "kids", "links", "mark", "score", "tag", "up")
 
     def __init__(self, tag: str, up: Node | None) -> None:
-        self.tag, self.up, self.kids, self.score, self.chars, self.links = tag, up, [], 0.0, 0, 0
+        self.tag, self.up, self.kids, self.score, self.chars, self.links, self.mark = tag, up, [], 0.0, 0, 0, False
 
 
 def parse(html: str) -> Node:
-    """A tree without the parts that never hold main text. Text is kept raw, as strings among kids."""
+    """A tree without the parts that never hold main text. Text is kept raw, as strings among kids.
+
+    Dropped elements are read like others, so each ends where HTML ends it, with or without an end tag."""
     root = here = Node("html", None)
-    at, depth, dropped = 0, 0, ""  # depth: of open elements named dropped
+    at, marked = 0, False
     while (m := TOKEN.search(html, at)) is not None:
-        if not dropped and m.start() > at:
-            here.kids.append(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        text, at = html[at : m.start()], m.end()
+        tag, closing = (m[2] or "").lower(), bool(m[1])
+        if here.tag == "head" and (text and not text.isspace() or tag and not closing and tag not in HEAD):
+            here = here.up
+        if text:
+            here.kids.append(text)
+        if not tag:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
         if not closing and tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
             at = len(html) if end is None else end.start()
             continue
-        if dropped:
-            if tag == dropped and tag not in VOID:
-                depth += -1 if closing else 1
-                dropped = dropped if depth else ""
-            elif closing and tag in ("body", "html"):
-                dropped = ""
-            continue
         if closing:
             node = here
             while node is not None and node.tag != tag:
@@ -65,27 +76,83 @@ def parse(html: str) -> Node:
             continue
         if tag in CLOSES_P:
             node = here
-            while node is not None and node.tag != "p" and node.tag not in BLOCK:
+            while node is not None and node.tag != "p" and node.tag not in BLOCK and node.tag not in BOILER:
                 node = node.up
             if node is not None and node.tag == "p":
                 here = node.up
-        if tag == "li" and here.tag == "li":
-            here = here.up
+        if tag in ENDS:
+            (ended, bounds), node = ENDS[tag], here
+            while node is not None and node.tag not in ended and node.tag not in bounds and node.tag not in ("article", "main", "body"):
+                node = node.up
+            if node is not None and node.tag in ended and node.up is not None:
+                here = node.up
         marks = {w for a in ATTR.findall(m[3]) for w in re.split(r"[^a-z]+", "".join(a).lower())} if m[3] else ()
-        if tag in BOILER or tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(marks):
-            if not m[3].rstrip().endswith("/"):
-                dropped, depth = tag, 1
-                here.kids.append(Node("hr", here))
+        mark = tag == "form" or tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(marks)
+        if (tag in BOILER or mark) and m[3].rstrip().endswith("/"):
             continue
         node = Node(tag, here)
-        here.kids.append(node)
+        if tag in BOILER:
+            here.kids.append(Node("hr", here))
+        else:
+            here.kids.append(node)
+            node.mark = mark
+            marked |= mark
         here = node
-    if not dropped and at < len(html):
+    if at < len(html):
         tail = html[at:]
         here.kids.append(tail if not re.match(r"<[a-zA-Z/!]", tail) else "")
+    if marked:
+        _prune(root)
     return root
 
 
+def _prune(root: Node) -> None:
+    """Drop forms and elements whose names say they are no main text, but not those around the article.
+
+    Kept is one that holds an article or main, where none stands outside of such elements; one with more than half of the
+    page's paragraphs and their text, within an article or main or where none stands beside it. Those within a kept one are
+    judged anew."""
+    found: dict[int, tuple[int, int, bool]] = {}  # paragraphs, their characters, whether there is an article or main
+    for node in reversed(_walk(root)):
+        n, chars, holds, plain = 0, 0, node.tag in ("article", "main"), 0
+        for k in node.kids:
+            if isinstance(k, str):
+                plain += 0 if k.isspace() else len(k)
+            else:
+                a, b, c = found[id(k)]
+                n, chars, holds = n + a, chars + b, holds or c
+                node.chars += 0 if k.tag == "a" else k.chars
+        node.chars += plain  # here without links
+        if node.tag in PARAGRAPH and node.chars:
+            n, chars = max(n, 1), node.chars
+        found[id(node)] = n, chars, holds
+    every, whole = _walk(root), found[id(root)]
+    for node in every:
+        node.chars = 0
+    within: set[int] = set()  # nodes in an article or main
+    for node in every:
+        if node.tag in ("article", "main") or node.up is not None and id(node.up) in within:
+            within.add(id(node))
+    scopes = [root]
+    while scopes:
+        free, inner, stack = False, [], [scopes.pop()]
+        while stack:
+            node = stack.pop()
+            free = free or node.tag in ("article", "main")
+            for k in node.kids:
+                if isinstance(k, Node):
+                    (inner if k.mark else stack).append(k)
+        holding = [k for k in inner if found[id(k)][2]]
+        for k in inner:
+            n, chars, holds = found[id(k)]
+            most = 2 * n > whole[0] and 2 * chars > whole[1]
+            if most and (holds or id(k) in within) if free else holds if holding else most:
+                k.mark = False
+                scopes.append(k)
+            else:
+                k.tag, k.kids = "hr", []
+
+
 def _walk(root: Node) -> list[Node]:
     out, stack = [], [root]
     while stack:

@@ -177,6 +177,27 @@ def test_html_keeps_all_of_a_long_article():
     assert html_text.main_text(f"<body>{links}<div>{long}</div>Told <a href=u>here</a> and there.<p>{links}") == f"{first}\nTold here and there."
 
 
+def test_html_marks_and_omitted_end_tags():
+    body, said = "<article><p>One, two.<p>Three.</article>", "One, two.\nThree."
+    for page in (
+        f'<div class="content has-sidebar">{body}<div class="sidebar"><p>No.</div></div>',
+        f'<div id="page" class="header-fixed"><div class="ad">Buy</div>{body}</div>',
+        f'<form id=all><div class="menu">Menu</div>{body}</form>',
+        '<div class="content has-sidebar"><p>One, two.<p>Three.</div><div class="ad">Buy</div>',
+        '<article><div class="social-post"><p>One, two.<p>Three.</div></article>',
+        f'<body><p class="notice">No{body}<div class="related"><article><p>No.</article></div>',
+        '<article><p class="notice">No<p>One, two.<p>Three.</article>',
+        '<article><ul><li class="share">No<li>One, two.</ul><p>Three.</article>',
+        '<article><table><tr><td class="ad">No<td>One, two.<tr class="ad"><td>No<tr><td>Three.</table></article>',
+        f"<html><head><title>t</title><meta charset=x><body>{body}",
+        f"<head><link href=x>{body}",
+        f"<div><nav><a href=x>No</a></div>{body}",
+    ):
+        assert html_text.main_text(page) == said, page
+    assert html_text.main_text(f'{body}<div class="comments">{body * 3}</div>'.replace("article", "section")) != ""
+    assert html_text.main_text(f'{body}<div class="comments"><p>a, b</p></div><form><p>c</p></form>') == said
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, None), (2, "u", "<p>ab</p>")], "page_id long, url string, html string")
     assert {(r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()} == {(1, "", 0), (2, "ab", 2)}
