@@ -72,6 +72,24 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_beside_other_words_and_across_lines(spark):
+    bsd = "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file."
+    whole = licenses.TEMPLATES["MIT"][1].split(" ")
+    wrapped = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + "\n".join(" ".join(whole[k : k + 12]) for k in range(0, len(whole), 12))
+    cases = {
+        1: "This project is released under the MIT License.",
+        2: "x\n" + bsd,
+        3: prose(40) + " It is licensed under CC BY-NC 4.0. " + prose(40),
+        4: wrapped,
+        5: "\n".join(["Released under the MIT License."] * 2) + " " + prose(9) + " released under the\nMIT license",
+        6: prose(50) + " released under the moon",
+        7: "the license",
+    }
+    got = licenses.scan(spark.createDataFrame([*cases.items()], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.line_no) for r in got) == [(1, "MIT", 0), (2, "BSD-3-Clause", 1), (3, "CC-BY-NC-4.0", 0), (4, "MIT", 4), (5, "MIT", 0), (5, "MIT", 1), (5, "MIT", 1)]
+    assert all(r.dice == 1 for r in got)
+
+
 def brute_components(texts, k, percent):
     sets = {}
     for i, t in texts.items():
