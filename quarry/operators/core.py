@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -67,31 +68,41 @@ def clean_clicks(raw: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """A predicate that must be TRUE: FALSE and NULL both fail."""
+    """A predicate that must be TRUE: FALSE and NULL both fail. {now} stands for a time that the caller gives; needs: columns
+    that not every source has."""
 
     name: str
     dataset: str
     predicate: str
     severity: str
+    needs: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if self.severity not in SEVERITIES:
             raise ValueError(f"severity must be one of {SEVERITIES}")
 
-    @property
-    def broken(self) -> Column:
-        return ~F.coalesce(F.expr(self.predicate), F.lit(False))
+    def applies(self, df: DataFrame, now: datetime | None) -> bool:
+        return {*self.needs} <= {*df.columns} and (now is not None or "{now}" not in self.predicate)
+
+    def broken(self, now: datetime | None = None) -> Column:
+        time = f"TIMESTAMP_NTZ '{now:%Y-%m-%d %H:%M:%S.%f}'" if now else ""
+        return ~F.coalesce(F.expr(self.predicate.replace("{now}", time)), F.lit(False))
 
 
 RULES = [
     Rule("orders_id_not_null", "orders", "order_id IS NOT NULL AND length(order_id) > 0", "fail"),
     Rule("orders_customer_known", "orders", "customer_id IS NOT NULL", "drop"),
     Rule("orders_ts_not_null", "orders", "order_ts IS NOT NULL", "drop"),
+    Rule("orders_ts_not_in_future", "orders", "order_ts <= {now} + INTERVAL 1 DAY", "drop"),
     Rule("orders_status_known", "orders", "status <> 'unknown'", "warn"),
+    Rule("orders_discount_range", "orders", "discount_pct BETWEEN 0 AND 0.9", "warn", ("discount_pct",)),
     Rule("items_quantity_positive", "items", "quantity > 0", "drop"),
     Rule("items_price_positive", "items", "unit_price > 0", "drop"),
     Rule("items_order_ref", "items", "order_id IS NOT NULL", "fail"),
     Rule("items_amount_consistent", "items", "abs(line_amount - quantity * unit_price) < 0.01", "warn"),
+    Rule("customers_id_not_null", "customers", "customer_id IS NOT NULL", "fail"),
+    Rule("customers_email_valid", "customers", f"email RLIKE r'{EMAIL}'", "warn"),
+    Rule("customers_signup_past", "customers", "signup_date <= to_date({now})", "warn", ("signup_date",)),
     Rule("events_id_not_null", "clicks", "event_id IS NOT NULL", "fail"),
     Rule("events_ts_not_null", "clicks", "event_ts IS NOT NULL", "drop"),
     Rule("events_type_known", "clicks", "event_type IN ('" + "', '".join(EVENTS) + "')", "drop"),
@@ -102,29 +113,30 @@ def rules_for(dataset: str, *severities: str) -> list[Rule]:
     return [r for r in RULES if r.dataset == dataset and r.severity in (severities or SEVERITIES)]
 
 
-def profile(df: DataFrame, dataset: str) -> DataFrame:
-    """A row per rule from one scan: rows_total, rows_failed, failure_rate, passed."""
+def profile(df: DataFrame, dataset: str, now: datetime | None = None) -> DataFrame:
+    """A row per rule from one scan: rows_total, rows_failed, failure_rate, passed. The last three are null where the rule
+    could not be evaluated: without now, or without a column the rule needs."""
     rules = rules_for(dataset)
     if not rules:
         raise ValueError(f"no rules for {dataset}")
-    one = df.agg(F.count("*").alias("rows_total"), *[F.count_if(r.broken).alias(r.name) for r in rules])
+    one = df.agg(F.count("*").alias("rows_total"), *[(F.count_if(r.broken(now)) if r.applies(df, now) else F.lit(None).cast("bigint")).alias(r.name) for r in rules])
     each = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.col(r.name).alias("rows_failed")) for r in rules])
-    rate = F.when(F.col("rows_total") == 0, 0.0).otherwise(F.col("rows_failed").cast("double") / F.col("rows_total"))
+    rate = F.when((F.col("rows_total") == 0) & F.col("rows_failed").isNotNull(), 0.0).otherwise(F.try_divide(F.col("rows_failed").cast("double"), F.col("rows_total")))
     return one.select("rows_total", F.inline(each)).withColumns({"failure_rate": rate, "passed": F.col("rows_failed") == 0})
 
 
-def quarantine(df: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
-    """Valid rows, and the rest with failed_rules; warnings do not reject."""
-    blocking = rules_for(dataset, "fail", "drop")
+def quarantine(df: DataFrame, dataset: str, now: datetime | None = None) -> tuple[DataFrame, DataFrame]:
+    """Valid rows, and the rest with failed_rules; warnings do not reject. Without now, rules that need it reject nothing."""
+    blocking = [r for r in rules_for(dataset, "fail", "drop") if r.applies(df, now)]
     if not blocking:
         return df, df.where("false").withColumn("failed_rules", F.array().cast("array<string>"))
-    tagged = df.withColumn("failed_rules", F.array_compact(F.array(*[F.when(r.broken, F.lit(r.name)) for r in blocking])))
+    tagged = df.withColumn("failed_rules", F.array_compact(F.array(*[F.when(r.broken(now), F.lit(r.name)) for r in blocking])))
     return tagged.where(F.size("failed_rules") == 0).drop("failed_rules"), tagged.where(F.size("failed_rules") > 0)
 
 
-def gate(df: DataFrame, dataset: str) -> None:
+def gate(df: DataFrame, dataset: str, now: datetime | None = None) -> None:
     """Raise when a rule of severity fail is broken."""
-    bad = [f"{r.rule}={r.rows_failed}" for r in profile(df, dataset).where("severity = 'fail' AND NOT passed").collect()]
+    bad = [f"{r.rule}={r.rows_failed}" for r in profile(df, dataset, now).where("severity = 'fail' AND NOT passed").collect()]
     if bad:
         raise ValueError("DQ blocking failures: " + ", ".join(bad))
 

@@ -6,6 +6,7 @@ TWINS are in the SQL that both engines share; {names} stand for frames in Spark
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from quarry.operators import core
 from quarry.sources import retail as src
 
+#: The time at which the quality rules are held against the tables; the newest orders are later.
+NOW = datetime(2001, 7, 1)
+
 BASE = """
 WITH orders_raw AS (
   SELECT o_orderkey::VARCHAR order_id, o_custkey::VARCHAR customer_id, o_orderdate::TIMESTAMP order_ts,
@@ -174,6 +178,22 @@ def dq_quarantine_clicks(spark: SparkSession, d: str) -> DataFrame:
     return bad.select("event_id", F.explode("failed_rules").alias("rule"))
 
 
+def _profiled(dataset: str) -> Callable[[SparkSession, str], DataFrame]:
+    cols = ["rule", "severity", "rows_total", "rows_failed", "failure_rate", "passed"]
+    return lambda spark, d: core.profile(frames(spark, d)[dataset], dataset, NOW).select(*cols)
+
+
+def _rejected(dataset: str, key: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: core.quarantine(frames(spark, d)[dataset], dataset, NOW)[1].select(key, F.explode("failed_rules").alias("rule"))
+
+
+def _profile_sql(frame: str, rules: list[tuple[str, str, str | None]]) -> str:
+    """The twin of a profile: rule, severity and the condition that must be true; None: the tables lack what it needs."""
+    failed = lambda c: f"count(*) FILTER (WHERE NOT coalesce({c}, false))" if c else "NULL::BIGINT"
+    each = " UNION ALL ".join(f"SELECT '{r}' rule, '{s}' severity, count(*) rows_total, {failed(c)} rows_failed FROM {frame}" for r, s, c in rules)
+    return f"SELECT *, CASE WHEN rows_failed IS NULL THEN NULL WHEN rows_total = 0 THEN 0.0::DOUBLE ELSE rows_failed::DOUBLE / rows_total END failure_rate, rows_failed = 0 passed FROM ({each})"
+
+
 def change_feed(spark: SparkSession, d: str) -> DataFrame:
     o = frames(spark, d)["orders"].select("order_id", "status")
     num = F.col("order_id").cast("bigint")
@@ -187,8 +207,23 @@ def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 OWN = {f.__name__: f for f in (scd2_history, surrogate_keys, dq_metrics_clicks, masked_customers, dq_quarantine_clicks, change_feed, merge_upsert)} | {"batch_windows_5min": batch_windows}
+OWN |= {f"dq_profile_{x}": _profiled(x) for x in ("orders", "items", "customers", "clicks")}
+OWN |= {"dq_quarantine_orders": _rejected("orders", "order_id"), "dq_quarantine_items": _rejected("items", "item_id")}
 OWN_SQL = {
-    "surrogate_keys": "SELECT customer_id, substr(sha256(customer_id), 1, 16) customer_sk FROM customers_c",
+    "dq_profile_orders": _profile_sql("orders_c", [
+        ("orders_id_not_null", "fail", "order_id IS NOT NULL AND length(order_id) > 0"), ("orders_customer_known", "drop", "customer_id IS NOT NULL"), ("orders_ts_not_null", "drop", "order_ts IS NOT NULL"),
+        ("orders_ts_not_in_future", "drop", "order_ts <= TIMESTAMP '2001-07-02'"), ("orders_status_known", "warn", "status <> 'unknown'"), ("orders_discount_range", "warn", None)]),
+    "dq_profile_items": _profile_sql("items_c", [
+        ("items_quantity_positive", "drop", "quantity > 0"), ("items_price_positive", "drop", "unit_price > 0"), ("items_order_ref", "fail", "order_id IS NOT NULL"),
+        ("items_amount_consistent", "warn", "abs(line_amount - quantity * unit_price) < 0.01")]),
+    "dq_profile_customers": _profile_sql("customers_c", [
+        ("customers_id_not_null", "fail", "customer_id IS NOT NULL"), ("customers_email_valid", "warn", r"regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$')"), ("customers_signup_past", "warn", None)]),
+    "dq_profile_clicks": _profile_sql("clicks_c", [
+        ("events_id_not_null", "fail", "event_id IS NOT NULL"), ("events_ts_not_null", "drop", "event_ts IS NOT NULL"), ("events_type_known", "drop", "event_type <> 'other'")]),
+    "dq_quarantine_orders": """SELECT order_id, 'orders_id_not_null' rule FROM orders_c WHERE coalesce(order_id, '') = '' UNION ALL SELECT order_id, 'orders_customer_known' FROM orders_c WHERE customer_id IS NULL
+        UNION ALL SELECT order_id, 'orders_ts_not_null' FROM orders_c WHERE order_ts IS NULL UNION ALL SELECT order_id, 'orders_ts_not_in_future' FROM orders_c WHERE NOT coalesce(order_ts <= TIMESTAMP '2001-07-02', false)""",
+    "dq_quarantine_items": """SELECT item_id, 'items_quantity_positive' rule FROM items_c WHERE NOT coalesce(quantity > 0, false) UNION ALL SELECT item_id, 'items_price_positive' FROM items_c WHERE NOT coalesce(unit_price > 0, false)
+        UNION ALL SELECT item_id, 'items_order_ref' FROM items_c WHERE order_id IS NULL""",
     "dq_quarantine_clicks": "SELECT event_id, 'events_type_known' rule FROM clicks_c WHERE event_type = 'other'",
     "change_feed": """, a AS (SELECT order_id, status FROM orders_c WHERE order_id::BIGINT % 5 <> 0), b AS (SELECT order_id, CASE WHEN order_id::BIGINT % 3 = 0 THEN 'returned' ELSE status END status FROM orders_c WHERE order_id::BIGINT % 7 <> 0)
         SELECT order_id, 'insert' change, status FROM b WHERE order_id NOT IN (SELECT order_id FROM a) UNION ALL SELECT order_id, 'delete', status FROM a WHERE order_id NOT IN (SELECT order_id FROM b)

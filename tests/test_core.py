@@ -1,8 +1,10 @@
+from datetime import datetime
 from decimal import Decimal
 
 import pytest
 
 from quarry.operators import core
+from quarry.plans import retail
 
 ORDERS = "order_id string, customer_id string, order_ts string, status string, channel string, currency string, shipping_country string"
 
@@ -39,6 +41,28 @@ def test_quality_rules_count_null_as_failure_and_quarantine(spark):
         core.Rule("x", "orders", "true", "loud")
 
 
+def test_rules_that_need_now_or_a_column(spark):
+    df, now = orders(spark), datetime(2026, 7, 1, 12)
+    assert {r.order_id: r.failed_rules for r in core.quarantine(df, "orders", now)[1].collect()} == {
+        "O2": ["orders_customer_known"],
+        "O3": ["orders_ts_not_in_future"],
+        "O4": ["orders_ts_not_null", "orders_ts_not_in_future"],
+    }
+    blind, full = ({r.rule: r.rows_failed for r in core.profile(d, "orders", n).collect()} for d, n in ((df, None), (df.withColumn("discount_pct", core.F.lit(0.95)), now)))
+    assert (blind["orders_ts_not_in_future"], blind["orders_discount_range"]) == (None, None)
+    assert (full["orders_ts_not_in_future"], full["orders_discount_range"]) == (2, 4)
+    who = spark.createDataFrame([("1", "a@b.c", "2026-07-01"), (None, "a@b", "2026-07-02")], "customer_id string, email string, signup_date string").withColumn("signup_date", core.F.to_date("signup_date"))
+    assert {r.rule: r.rows_failed for r in core.profile(who, "customers", now).collect()} == {"customers_id_not_null": 1, "customers_email_valid": 1, "customers_signup_past": 1}
+    assert len(core.RULES) == 16
+
+
+def test_quality_queries_give_every_rule(spark):
+    found, sql = retail.queries(), retail.oracle_sql()
+    for dataset in ("orders", "items", "customers", "clicks"):
+        got = found[f"dq_profile_{dataset}"](spark, "/root/testdata/sf0.001").collect()
+        assert [(r.rule, r.severity) for r in got] == [(r.name, r.severity) for r in core.rules_for(dataset)] and f"dq_profile_{dataset}" in sql
+
+
 def test_scd2_has_one_current_version_and_no_gaps(spark):
     feed = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 2, "x"), ("a", 4, "x"), ("b", 1, "z")], "k string, seq int, v string")
     got = sorted(core.scd2(feed, "k", ["seq"], ["v"]).select("k", "valid_from", "valid_to", "v", "is_current").collect(), key=lambda r: (r.k, r.valid_from))
