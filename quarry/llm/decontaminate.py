@@ -22,9 +22,10 @@ def normal(text: str) -> bytes:
     return " ".join(text.lower().split()).encode()
 
 
-def grams(raw: bytes) -> np.ndarray:
-    """The Q bytes from each position as one number."""
-    return np.lib.stride_tricks.as_strided(np.frombuffer(raw + b"\0" * 8, np.uint64, 1), (max(0, len(raw) - Q + 1),), (1,))
+def grams(raw: bytes, q: int = Q) -> np.ndarray:
+    """The q bytes from each position as one number."""
+    eight = np.lib.stride_tricks.as_strided(np.frombuffer(raw + b"\0" * 8, np.uint64, 1), (max(0, len(raw) - q + 1),), (1,))
+    return eight if q == Q else eight & np.uint64((1 << 8 * q) - 1)
 
 
 def distance(item: bytes, region: bytes, budget: int) -> int:
@@ -43,30 +44,38 @@ def distance(item: bytes, region: bytes, budget: int) -> int:
 
 
 class Index:
+    """Grams of Q bytes; fewer for an item of which the budget of edits could break each of those."""
+
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         self.items = [(i, t) for i, t in items if t]
         self.budgets = [int(ERRORS * len(t)) for _, t in self.items]
-        self.need = np.array([max(1, len(t) - Q + 1 - k * Q) for (_, t), k in zip(self.items, self.budgets, strict=True)])
+        size = [min(Q, len(t) // (k + 1)) if len(t) >= Q else Q for (_, t), k in zip(self.items, self.budgets, strict=True)]
+        self.need = np.array([max(1, len(t) - q + 1 - k * q) for (_, t), k, q in zip(self.items, self.budgets, size, strict=True)])
         self.wide = np.array(self.budgets, int) + 1
-        codes = [grams(t) for _, t in self.items]
-        code = np.concatenate([*codes, np.zeros(0, np.uint64)])
-        order = np.argsort(code, kind="stable")
-        self.code, self.item, self.at = code[order], np.repeat(np.arange(len(codes)), [c.size for c in codes])[order], np.concatenate([*(np.arange(c.size) for c in codes), np.zeros(0, int)])[order]
-        self.seen = np.zeros(1 << _BITS, bool)
-        self.seen[(self.code * _MIX) >> np.uint64(64 - _BITS)] = True
         self.short = [k for k, (_, t) in enumerate(self.items) if len(t) < Q]
+        self.tables = []
+        for q in sorted({*size}, reverse=True):
+            codes = [(k, grams(t, q)) for k, (_, t) in enumerate(self.items) if size[k] == q]
+            code = np.concatenate([*(c for _, c in codes), np.zeros(0, np.uint64)])
+            order = np.argsort(code, kind="stable")
+            item, at = np.repeat([k for k, _ in codes], [c.size for _, c in codes])[order], np.concatenate([*(np.arange(c.size) for _, c in codes), np.zeros(0, int)])[order]
+            seen = np.zeros(1 << _BITS, bool)
+            seen[(code * _MIX) >> np.uint64(64 - _BITS)] = True
+            self.tables.append((q, code[order], item, at, seen))
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item_id, edits, first byte of the region in the normalised text), the best region of each item found."""
         raw = normal(text)
         found: dict[int, tuple[int, int]] = {k: (0, p) for k in self.short if (p := raw.find(self.items[k][1])) >= 0}
-        code = grams(raw)
-        pos = np.flatnonzero(self.seen[(code * _MIX) >> np.uint64(64 - _BITS)]) if code.size and self.code.size else np.zeros(0, int)
-        if pos.size:
-            lo, hi = np.searchsorted(self.code, code[pos], "left"), np.searchsorted(self.code, code[pos], "right")
+        for q, known, items, places, seen in self.tables:
+            code = grams(raw, q)
+            pos = np.flatnonzero(seen[(code * _MIX) >> np.uint64(64 - _BITS)]) if code.size and known.size else np.zeros(0, int)
+            if not pos.size:
+                continue
+            lo, hi = np.searchsorted(known, code[pos], "left"), np.searchsorted(known, code[pos], "right")
             n = hi - lo
             rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            item, diagonal = self.item[rows], np.repeat(pos, n) - self.at[rows]
+            item, diagonal = items[rows], np.repeat(pos, n) - places[rows]
             # an item with too few grams in the whole text has too few in any band
             some = np.bincount(item, minlength=self.need.size)[item] >= self.need[item]
             item, diagonal = item[some], diagonal[some]
@@ -88,8 +97,8 @@ class Index:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, at: each benchmark item that a document's normalised text holds within 10 % edits (bytes).
 
-    Null and empty texts and items match nothing; repeated rows match each; items shorter than a q-gram must occur
-    exactly. Items go to the tasks in blocks of bounded size."""
+    Null and empty texts and items match nothing; repeated rows match each; items under 10 bytes must occur exactly, as
+    10 % of them is no edit. Items go to the tasks in blocks of bounded size."""
     items = texts(benchmark.select(F.col("item_id").alias("doc_id"), "text"))
     blocks = 1 + int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK)
     out = None

@@ -174,6 +174,25 @@ def test_decontamination_against_full_alignment(spark, empty):
     assert decontaminate.matches(empty, bench).count() == 0
 
 
+def test_decontamination_of_short_items():
+    """Edits spread over an item of few bytes, so that no part of 8 bytes is left."""
+    lengths = [8, 9, *range(10, 34)]
+    items = [(n, "".join(rng.choices("abcdefghijklmnop", k=n)).encode()) for n in lengths]
+    index = decontaminate.Index(items)
+    broken = 0
+    for n, item in items:
+        budget = n // 10
+        for k in range(budget + 2):
+            s = list(item.decode())
+            for e in range(k):
+                s[(e + 1) * n // (k + 1) - (e > 0)] = "z"
+            text = "qq ww " + "".join(s) + " rr tt"
+            got = {i: e for i, e, _ in index.find(text)}
+            assert got == {i: e for i, t in items if (e := edits(t.decode(), text)) <= len(t) // 10}, (n, k)
+            broken += k == budget > 0 and not any(item.decode()[j : j + 8] in text for j in range(n - 7))
+    assert broken > 3
+
+
 def test_html():
     page = '<html><head><title>t</title></head><body><nav><a href=x>Menu</a></nav><div class="ad">Buy</div><article><h1>Head</h1><p>One &amp; two,\n three<br>four<p>Five <b>six</b></p><aside>No</aside></article><div id="comments"><p>Reader, says, much, more, than, all, others.</p></div><footer>f</footer>'
     assert html_text.main_text(page) == "Head\nOne & two, three four\nFive six"
