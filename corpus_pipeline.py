@@ -9,34 +9,60 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality
-from quarry.llm.common import table
+from quarry.llm.common import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key that is never null and stands for one text: doc_id, but a new number above all ids where that is
+    null or has several texts."""
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    odd = cut(docs.groupBy("doc_id").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("doc_id IS NULL OR a <> b").select(F.col("doc_id").alias("odd")))
+    if odd.isEmpty():
+        return docs.withColumn("key", F.col("doc_id"))
+    top, same = docs.agg(F.max("doc_id")).first()[0] or 0, F.col("doc_id").eqNullSafe(F.col("odd"))
+    new = cut(docs.join(odd, same, "left_semi").withColumn("key", F.monotonically_increasing_id() + F.lit(top + 1)))
+    return docs.join(odd, same, "left_anti").withColumn("key", F.col("doc_id")).unionByName(new)
+
+
+def without(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without those whose key find returns as doc_id."""
+    rows = keyed(docs)
+    gone = find(rows.withColumn("doc_id", F.col("key")).select(COLUMNS)).select(F.col("doc_id").alias("key"))
+    return rows.join(gone, "key", "left_anti").select(COLUMNS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that score under 0.5; the model learns from labels of rows in docs."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return docs.join(scored.where("predicted = 0").select("doc_id"), "doc_id", "left_anti").select(COLUMNS)
+    return without(docs, lambda d: quality.classify(d, table(spark, sf_dir, "labels")).where("predicted = 0"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
-    return docs.join(exact_dedup.duplicates(docs).where("not kept").select("doc_id"), "doc_id", "left_anti").select(COLUMNS)
+    """Of equal texts one row stays, of the largest doc_id; a null id stays only where all are null."""
+    found = cut(exact_dedup.duplicates(docs).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), (F.col("group_size") > 1).alias("shared"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays")))
+    rows = docs.select(COLUMNS).withColumn("h", F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("sha"))
+    kept = rows.join(found.where("not stays"), same, "left_anti")
+    again = cut(found.where("shared and stays").groupBy("id", "sha").agg(F.count("*").alias("n")).where("n > 1"))
+    if again.isEmpty():
+        return kept.select(COLUMNS)
+    first = F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("lang", "source", "n_chars", F.col("text").isNull()))
+    one = kept.join(again, same, "left_semi").withColumn("nth", first).where("nth = 1")
+    return kept.join(again, same, "left_anti").select(COLUMNS).unionByName(one.select(COLUMNS))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the smallest doc_id stays."""
-    gone = jaccard_join.linked(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Of each group of near duplicates (five words, 0.8) the one of the smallest key stays."""
+    return without(docs, lambda d: jaccard_join.linked(d).where("component_id <> doc_id"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a benchmark item."""
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    return without(docs, lambda d: decontaminate.matches(d, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row.
 
     Null and empty texts are equal to each other; of equal texts the largest doc_id stays; a repeated doc_id counts per
-    row; other columns are ignored; an empty table gives none. A chunk's identifier is its 64-bit hash, verified against
+    row, and all rows of the kept id have kept, as has a null id (the pipeline keeps one of them); other columns are ignored; an empty table gives none. A chunk's identifier is its 64-bit hash, verified against
     all distinct chunks: where one hash stands for several contents, their rank within the hash completes it.
     """
     cut_up = texts(docs).withColumn("chunks", F.regexp_extract_all("text", F.lit(CHUNK), F.lit(0)))

@@ -14,3 +14,16 @@ def test_stages_keep_clean_documents_once(spark):
     ids = [r.doc_id for r in got]
     assert len(ids) == len({*ids}) == len({text[i] for i in ids}) and 0.6 * len(text) < len(ids) < len(text)
     assert all(r.n_tokens == len(r.ids) // 4 for r in got)
+
+
+def test_dedup_stages_with_repeated_and_null_ids(spark):
+    a, b, c = ("".join(f"{x}{k} " for k in range(60)) for x in "abc")
+    near = c.replace("c3 ", "d3 ")
+    data = [(1, a), (1, a), (None, a), (None, b), (None, b), (2, c), (2, near), (None, near + "."), (3, None), (None, ""), (4, "one"), (4, "two")]
+    docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars int")
+    once = corpus_pipeline.exact_stage(spark, docs, SF)
+    rows = sorted(((r.doc_id, r.text) for r in once.collect()), key=str)
+    assert rows == sorted([(1, a), (None, b), (2, c), (2, near), (None, near + "."), (3, None), (4, "one"), (4, "two")], key=str)
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, once, SF).collect()]
+    assert len(left) == 6 and sum(t in (c, near, near + ".") for _, t in left) == 1
+    assert {(4, "one"), (4, "two"), (1, a), (None, b), (3, None)} <= {*left}
