@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 BITS = 18
+#: Words whose hashes a task remembers before it starts anew.
+REMEMBERED = 150_000
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SHIFT = np.uint64(64 - BITS)
 
@@ -15,7 +17,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         v = self[word] = xxhash.xxh3_64_intdigest(word)
         return v

@@ -1,12 +1,13 @@
 """N-gram Jaccard join over a token-group matrix.
 
-Documents of equal shingle sets are one class. Classes that share rare shingles with a leading class, and are proven
-alike by exact intersection, form a group around it. The matrix holds which shingles each group's union has. Another
-class can have a link into a group only if it shares a prefix shingle (the rarest n - ceil(t * n) + 1, in an order that all
-documents use) with it, and if its overlap with the group's union reaches t * n; only such groups are opened and their
-members compared, each exactly. One link joins a class to a group, so its few members with most shared shingles come first,
-and groups that are by then in one component with the class stay closed. A sketch of parities, of which each shingle flips one bit, first bounds how many shingles
-two documents can't share, and pairs that it rules out aren't compared. No candidate is dropped: the order of shingles affects speed alone.
+Documents of equal shingle sets are one class. Classes that share rare shingles with a leading class form a group around
+it. The matrix holds, for each shingle of the index prefixes, the groups that have it; a class asks it with the shingles of
+its probe prefix. Of two linked sets the larger one's probe prefix (its rarest n - ceil(t * n) + 1) meets the smaller one's
+index prefix (its rarest n - ceil(2 * t / (1 + t) * n) + 1) in an order that all documents use, so a link to a smaller or
+equal set of another group is always found. A group is stored in blocks of members, each with the union of its shingles
+and, for each, the members that have it. A block is opened for a class only where the class shares as many shingles with
+the union as a link to any member asks for. Links with a group's leader come first; members that have one are
+joined by it, the others ask their own group too. How classes are grouped and ordered affects speed alone.
 """
 
 from __future__ import annotations
@@ -15,20 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quarry.llm.common import Shelf, table, texts
+from quarry.llm.common import Shelf, frugal, keyed, table, texts
 from quarry.llm.features import A, B, Words, hashes, words_of
 
 #: Frequent shingles that the order puts last: at most so many, those found in FREQUENT documents of a batch.
 HINTS, FREQUENT = 100_000, 8
-BITMAP = 26
-#: Members of a group that a class is compared with before the whole group.
-CENTRES = 8
-#: Members, and classes asked about, of one group that go into a block, on average.
-BLOCK = 64
+#: Bits of the filter that picks documents by id: 16 for each id, at least and at most 2**these.
+BITMAP = (20, 28)
+#: Members of a group, and classes that ask for it, in a block, on average.
+BLOCK = 128
+#: Parts that joins on one vertex or label are dealt to.
+SALT = 16
+#: Bytes of sets that a task holds before it hands them on.
+HELD = 8 << 20
 
 
 def shingles(text: str, k: int, memo: Words) -> np.ndarray:
@@ -47,6 +50,7 @@ def shingles(text: str, k: int, memo: Words) -> np.ndarray:
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     """Frequent shingles, the most frequent last."""
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Words()
         for f in frames:
@@ -65,156 +69,158 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     return np.array([r.token for r in reversed(top)], np.int64).view(np.uint64)
 
 
-def _marks(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size, 2**BITMAP bits, with a bit set for each id."""
+def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (ids.astype(np.uint64) * A) >> np.uint64(64 - bits)
 
+
+def _marks(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """A bitmap with a bit set for each id; its size is bounded whatever the number of ids."""
+    low, high = BITMAP
+    bits = min(high, max(low, int(16 * ids.count()).bit_length()))
+
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(1 << BITMAP, bool)
+        out = np.zeros(1 << (bits - 3), np.uint8)
         for f in frames:
-            bits[_bit(f["id"].to_numpy(np.int64))] = True
-        if bits.any():
-            yield pd.DataFrame({"part": np.arange(64), "bits": [np.packbits(x).tobytes() for x in np.split(bits, 64)]})
+            bit = _bit(f["id"].to_numpy(np.int64), bits)
+            np.bitwise_or.at(out, bit >> np.uint64(3), (128 >> (bit & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+        if out.any():
+            yield pd.DataFrame({"part": np.arange(64), "bits": [x.tobytes() for x in np.split(out, 64)]})
 
     def merged(f: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": f["part"][:1], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in f["bits"]]).tobytes()]})
 
-    few = ids.distinct().repartition(8, "id").mapInPandas(run, "part long, bits binary")
-    out = np.zeros((1 << BITMAP) // 8, np.uint8)
+    few = ids.repartition(8, "id").mapInPandas(run, "part long, bits binary")
+    out = np.zeros(1 << (bits - 3), np.uint8)
     size = out.size // 64
-    for r in few.groupBy("part").applyInPandas(merged, "part long, bits binary").collect():
+    for r in few.groupBy("part").applyInPandas(merged, "part long, bits binary").toLocalIterator():
         out[r.part * size : (r.part + 1) * size] = np.frombuffer(r.bits, np.uint8)
-    return out
-
-
-def _marked(marks: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    bit = _bit(ids)
-    return (marks[bit >> np.uint64(3)] >> (np.uint64(7) - (bit & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
-
-
-def _bit(ids: np.ndarray) -> np.ndarray:
-    return (ids.astype(np.uint64) * A) >> np.uint64(64 - BITMAP)
+    return bits, out
 
 
 def _sets(shelf: Shelf, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """id, tokens of the documents with these ids, and of a few that share their bit: texts needn't move to be picked."""
-    shared = docs.sparkSession.sparkContext.broadcast(_marks(ids))
+    shared = shelf.share(_marks(ids))
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Words()
+        memo, (bits, marks) = Words(), shared.value
         for f in frames:
-            f = f[_marked(shared.value, f["doc_id"].to_numpy(np.int64))]
-            if len(f):
-                yield pd.DataFrame({"id": f["doc_id"], "tokens": [shingles(t, k, memo).view(np.int64) for t in f["text"]]})
-
-    return shelf.put(docs.mapInPandas(run, "id long, tokens array<long>"))
+            bit = _bit(f["doc_id"].to_numpy(np.int64), bits)
+            rows, size = [], 0
+            f = f[(marks[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1).astype(bool)]
+            for d, t in zip(f["doc_id"], f["text"], strict=True):
+                rows.append((d, shingles(t, k, memo).tobytes()))
+                size += len(rows[-1][1])
+                if size > HELD:
+                    yield pd.DataFrame(rows, columns=["id", "tokens"])
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "tokens"])
 
-
-def _sketch(s: np.ndarray) -> bytes:
-    """A bit for the parity of each of 2**k bins of the set, about as many bins as shingles."""
-    bins = 1 << max(6, int(s.size - 1).bit_length())
-    return np.packbits((np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).astype(np.uint8)).tobytes()
-
-
-def _differ(one: bytes, two: bytes) -> int:
-    """At least so many shingles are in one of the two sets alone: each flips one bit."""
-    x, y = sorted((np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)), key=len)
-    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, x.size))).sum())
-
-
-def _close(pairs: DataFrame, heads: DataFrame, percent: int, beyond: bool = False) -> DataFrame:
-    """The pairs a, b whose sketches don't rule a link out; beyond: a link of b to any set that a has a link to.
-
-    Jaccard distance is a metric, so in that case the similarity of a and b is 2 * percent - 100 at least."""
-    share = percent if beyond else (100 + percent)
-    side = lambda x: heads.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            least = np.fromiter(map(_differ, f["sa"], f["sb"]), np.int64, len(f))
-            yield f.loc[share * least <= (100 - percent) * (f["na"] + f["nb"]).to_numpy(), ["a", "b"]]
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
-
-
-def _close_in_blocks(asked: DataFrame, inside: DataFrame, spans: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """The pairs a (a member), b of each class id and group g of asked that sketches don't rule out.
-
-    Every class meets every member of its group, block by block, so that rows are pairs of blocks and not pairs of documents."""
-
-    def packed(rows: DataFrame, name: str) -> DataFrame:
-        by = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK))
-        return rows.join(heads.select("id", "n", "sketch"), "id").groupBy("g", by.alias(name + "k")).agg(*[F.collect_list(F.struct("id", "n", "sketch")).alias(name)])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for left, right in zip(f["x"], f["y"], strict=True):
-                found = [
-                    (m["id"], q["id"])
-                    for q in left
-                    for m in right
-                    if 100 * min(q["n"], m["n"]) >= percent * max(q["n"], m["n"]) and (100 + percent) * _differ(q["sketch"], m["sketch"]) <= (100 - percent) * (q["n"] + m["n"])
-                ]
-                yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
-
-    queries = asked.select("id", "g").join(asked.groupBy("g").agg(F.count("*").alias("members")), "g")
-    members = inside.select("id", "g").join(spans.select("g", "members"), "g")
-    blocks = packed(queries, "x").join(packed(members, "y"), "g")
-    return blocks.select("x", "y").mapInPandas(run, "a long, b long")
+    return shelf.put(docs.mapInPandas(run, "id long, tokens binary").join(ids, "id", "left_semi").dropDuplicates(["id"]))
 
 
 def _signed(shelf: Shelf, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, n, key of the set, and the probe prefix in the common order."""
     often = _frequent(docs, k)
     order = np.argsort(often)
-    shared = docs.sparkSession.sparkContext.broadcast((often[order], order))
+    shared = shelf.share((often[order], order))
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         memo, (known, rank) = Words(), shared.value
         for f in frames:
-            rows = []
-            for t in f["text"]:
+            rows, size = [], 0
+            for d, t in zip(f["doc_id"], f["text"], strict=True):
                 s = shingles(t, k, memo)
-                key = xxhash.xxh3_128_digest(s.tobytes())
+                prefix = s
                 if s.size:
-                    keep = s.size - -(-percent * s.size // 100) + 1
-                    at = np.searchsorted(known, s) if known.size else np.zeros(s.size, int)
-                    hit = known[np.minimum(at, known.size - 1)] == s if known.size else np.zeros(s.size, bool)
-                    place = np.where(hit, rank[np.minimum(at, known.size - 1)], -1) if known.size else np.full(s.size, -1)
-                    prefix = s[np.lexsort((s, place))[:keep]]
-                else:
-                    prefix = s
-                rows.append((s.size, key, prefix.view(np.int64), _sketch(s)))
-            yield pd.DataFrame(rows, columns=["n", "key", "prefix", "sketch"]).assign(doc_id=f["doc_id"].to_numpy())[["doc_id", "n", "key", "prefix", "sketch"]]
+                    place = np.full(s.size, -1)
+                    if known.size:
+                        at = np.minimum(np.searchsorted(known, s), known.size - 1)
+                        place = np.where(known[at] == s, rank[at], -1)
+                    prefix = s[np.lexsort((s, place))[: s.size - -(-percent * s.size // 100) + 1]]
+                rows.append((d, s.size, xxhash.xxh3_128_digest(s.tobytes()), prefix.view(np.int64)))
+                size += prefix.nbytes + 64
+                if size > HELD:
+                    yield pd.DataFrame(rows, columns=["doc_id", "n", "key", "prefix"])
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "n", "key", "prefix"])
+
+    return shelf.put(docs.mapInPandas(run, "doc_id long, n long, key binary, prefix array<long>"))
+
+
+def _block_links(asked: list[dict], members: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links between classes of a block and members of a block, without those that others, or equal labels, imply."""
+    sets = [np.frombuffer(m["tokens"], np.uint64) for m in members]
+    size = np.array([s.size for s in sets])
+    union, of = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(size.size), size)[np.argsort(of, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=union.size))])
+    least, root, out = int(size.min()), {}, []
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    for q in asked:
+        s = np.frombuffer(q["tokens"], np.uint64)
+        at = np.minimum(np.searchsorted(union, s), union.size - 1)
+        at = at[union[at] == s]
+        if (100 + percent) * at.size < percent * (s.size + max(least, -(-percent * s.size // 100))):
+            continue  # the union has too few of its shingles: no member can be linked
+        n = start[at + 1] - start[at]
+        both = np.bincount(owner[np.repeat(start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=size.size)
+        for m in np.flatnonzero(100 * both >= percent * (s.size + size - both)).tolist():
+            a, b = find(q["label"]), find(members[m]["label"])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((q["id"], members[m]["id"]))
+    return out
+
 
-    return shelf.put(docs.mapInPandas(run, "doc_id long, n long, key binary, prefix array<long>, sketch binary"))
+def _open(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between the classes that ask for a group and its members; both with g, id and a label that only classes
+    of one component share. Rows are pairs of blocks, so neither side of a group is ever in one place."""
+    parts = lambda rows, name: rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias(name))
 
+    def packed(rows: DataFrame, part: str, name: str, *more: str) -> DataFrame:
+        return rows.join(sets, "id").groupBy("g", F.pmod(F.xxhash64("id"), F.col(part)).alias(part), *more).agg(F.collect_list(F.struct("id", "label", "tokens")).alias(name))
 
-def _postings(classes: DataFrame, common: DataFrame) -> DataFrame:
-    """token, id, n, pos of the shingles in common, and of a few that share their bit."""
-    shared = classes.sparkSession.sparkContext.broadcast(_marks(common.select(F.col("token").alias("id"))))
+    within = parts(members, "mk")
+    one = packed(asked.join(parts(asked, "ak"), "g").join(within.withColumnRenamed("mk", "blocks"), "g"), "ak", "a", "blocks")
+    two = packed(members.join(asked.select("g").distinct(), "g", "left_semi").join(within, "g"), "mk", "m")
+    each = one.select("g", "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mk"))
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            size = np.array([len(p) for p in f["prefix"]])
-            token = np.concatenate([np.asarray(p, np.int64) for p in f["prefix"]])
-            pos = np.arange(token.size) - np.repeat(np.cumsum(size) - size, size)
-            keep = _marked(shared.value, token)
-            yield pd.DataFrame({"token": token, "id": np.repeat(f["id"].to_numpy(), size), "n": np.repeat(f["n"].to_numpy(), size), "pos": pos})[keep]
+            for a, m in zip(f["a"], f["m"], strict=True):
+                yield pd.DataFrame(_block_links(a, m, percent), columns=["a", "b"], dtype=np.int64)
 
-    return classes.select("id", "n", "prefix").mapInPandas(run, "token long, id long, n long, pos int")
+    return each.join(two, ["g", "mk"]).select("a", "m").mapInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
-    """v, c: the smallest vertex that each vertex of the edges (a, b) reaches."""
-    both = shelf.put(edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a")).distinct())
+    """v, c: the smallest vertex that each vertex of the edges (a, b) reaches. Each round takes the least label around a
+    vertex and that label's own label; joins are salted, so a vertex of many edges or a label of many vertices is dealt out."""
+    salted = lambda df, c: df.withColumn("salt", F.pmod(F.xxhash64(c), F.lit(SALT)))
+    copied = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<bigint>")))
+    both = shelf.put(salted(edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a")).distinct(), "v"))
     label = shelf.put(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("c")).withColumn("old", F.lit(None).cast("long")))
     while True:
         known = label.select("v", "c")
-        near = both.join(known.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("near"))
+        near = both.join(copied(known.withColumnRenamed("v", "u")), ["u", "salt"]).groupBy("v").agg(F.min("c").alias("near"))
         low = known.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "near").alias("c"))
-        jump = low.join(known.select(F.col("v").alias("c"), F.col("c").alias("far")), "c")
-        new = shelf.put(jump.select("v", F.least("c", "far").alias("c"), "old"))
+        roots = known.join(low.select(F.col("c").alias("v")).distinct(), "v", "left_semi")
+        far = copied(roots.select(F.col("v").alias("c"), F.col("c").alias("far")))
+        new = shelf.put(salted(low, "v").join(far, ["c", "salt"]).select("v", F.least("c", "far").alias("c"), "old"))
         shelf.drop(label)
         label = new
         if new.where("old <> c").isEmpty():
@@ -222,99 +228,69 @@ def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
             return new.select("v", "c")
 
 
-def _alike(percent: int) -> Column:
-    both = F.size(F.array_intersect("ta", "tb"))
-    return 100 * both >= percent * (F.size("ta") + F.size("tb") - both)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one, two = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(two, "b").join(one, "a").where(_alike(percent)).select("a", "b")
-
-
 def linked(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: documents link when 100 * intersection >= percent * union.
 
-    Words are [^ \\x09-\\x0D]+ with A-Z lower-cased. Null, empty and blank texts have no shingles and link with nothing;
-    repeated rows are rows of one class; an empty table gives none; other columns are ignored."""
-    docs, shelf = texts(docs), Shelf(docs.sparkSession)
+    Words are [^ \x09-\x0D]+ with A-Z lower-cased; shingles are compared by 64 bits of hash, whole sets by 128. Null,
+    empty and blank texts have no shingles and link with nothing; repeated rows are rows of one class; rows of one id with
+    several texts, and those without an id, are documents each, of which ids alone name a component (null where it has
+    none); an empty table gives none; other columns are ignored."""
+    rows, odd = keyed(texts(docs))
+    if not odd:
+        return _linked(rows.select("doc_id", "text"), k, percent)
+    found = _linked(rows.select(F.col("key").alias("doc_id"), "text"), k, percent).withColumnRenamed("doc_id", "key")
+    named = found.join(rows.select("key", "doc_id").distinct(), "key")
+    least = named.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    return named.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+
+
+def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """linked for ids that are never null and stand for one text each."""
+    shelf = Shelf(docs.sparkSession)
     signed = _signed(shelf, docs, k, percent)
-    classes = shelf.put(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
+    classes = shelf.put(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     keys = shelf.put(signed.select("doc_id", "n", "key"))
     shelf.drop(signed)
-    tokens = classes.select("id", F.explode("prefix").alias("token"))
-    common = shelf.put(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"))
-    rows = _postings(classes, common)
-    posted = shelf.put(rows.join(common, "token"))
-    heads = shelf.put(classes.select("key", "id", "n", "sketch"))
-    shelf.drop(common, classes)
-
-    # of the classes with a shingle, the one that has the largest part of its prefix in common with others leads the rest; of
-    # its leaders a class tries the one that most shingles name
-    common = posted.groupBy("id").agg(F.count("*").alias("o"))
+    indexed = F.col("pos") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
+    postings = classes.select("id", F.col("n").cast("int"), F.posexplode("prefix").alias("pos", "token")).withColumn("indexed", indexed)
+    common = postings.groupBy("token").agg(F.count("*").alias("df"), F.max("indexed").alias("indexed")).where("df > 1 AND indexed").select("token")
+    posted = shelf.put(postings.join(common, "token"))
+    heads = shelf.put(classes.select("key", "id"))
+    shelf.drop(classes)
+
+    # of the classes with a shingle, the one that has the largest part of its prefix in common with others leads the rest;
+    # a class goes to the leader that most of its shingles name
+    shares = posted.groupBy("id").agg(F.count("*").alias("o"))
     part = F.struct(F.col("o") / F.col("n"), (-F.col("id")).alias("x"))
-    firsts = posted.join(common, "id").groupBy("token").agg((-F.max(part).getField("x")).alias("first"))
-    named = posted.join(firsts, "token").where("first <> id").groupBy("id", "first").agg(F.count("*").alias("o"))
-    leaders = shelf.put(named.groupBy(F.col("id").alias("b")).agg(F.max(F.struct("o", (-F.col("first")).alias("x"))).alias("m")).select((-F.col("m.x")).alias("a"), "b"))
-    ends = lambda e: e.select(F.col("a").alias("id")).union(e.select("b"))
-    width = heads.select("id", "n")
-    sized = leaders.join(width.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(width.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    fit = sized.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b")
-    tried = shelf.put(_close(fit, heads, percent))
-    first = _sets(shelf, docs, ends(tried), k)
-    near = shelf.put(_verified(tried, first, percent))
-    shelf.drop(leaders, tried, first)
-
-    grouped = shelf.put(posted.join(near.select(F.col("b").alias("id"), F.col("a").alias("lead")), "id", "left").withColumn("g", F.coalesce("lead", "id")))
+    firsts = posted.join(shares, "id").groupBy("token").agg((-F.max(part).getField("x")).alias("first"))
+    named = posted.join(firsts, "token").groupBy("id", "first").agg(F.count("*").alias("o"))
+    own = shelf.put(named.groupBy("id").agg((-F.max(F.struct("o", (-F.col("first")).alias("x"))).getField("x")).alias("g")))
+    grouped = shelf.put(posted.join(own, "id"))
     shelf.drop(posted)
-    sizes = shelf.put(grouped.groupBy("id", "n", "g").agg(F.count("*").alias("o")))
-    spans = sizes.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"), F.min("id").alias("sole"))
-    matrix = grouped.groupBy("token", "g").agg(F.min("pos").alias("gpos"))
-    # after the last shingle that both prefixes share, at most the rest of the shorter can be shared
-    met = (
-        grouped.select("token", "id", "n", "pos", F.col("g").alias("own"))
-        .join(matrix, "token")
-        .where("g < own")
-        .groupBy("id", "n", "g")
-        .agg(F.count("*").alias("o"), F.max("pos").alias("pos"), F.max("gpos").alias("gpos"))
-        .join(spans, "g")
-        .where((100 * F.col("n") >= percent * F.col("least")) & (percent * F.col("n") <= 100 * F.col("most")))
-    )
-    left = F.col("o") + F.least(F.col("n") - F.col("pos"), F.col("most") - F.col("gpos")) - 1
-    met = shelf.put(met.where((F.col("members") > 1) | ((100 + percent) * left >= percent * (F.col("n") + F.col("most")))).select("id", "n", "g", "members", "sole"))
+
+    # the token-group matrix, with what bounds the overlap with any member that has the shingle in its index prefix
+    matrix = grouped.where("indexed").groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    asks = grouped.select("token", "id", "n", "pos", F.col("g").alias("home"))
+    fewest = F.greatest("least", F.ceil(percent * F.col("n") / 100))
+    met = (F.col("g") != F.col("home")) & F.col("n").between(F.col("least"), F.floor(100 * F.col("most") / percent))
+    met &= (100 + percent) * F.least(F.col("rest"), F.col("n") - F.col("pos")) >= percent * (F.col("n") + fewest)
+    abroad = shelf.put(asks.join(matrix, "token").where(met).select("id", "g").distinct())
     shelf.drop(grouped)
-    single = shelf.put(_close(met.where("members = 1").select(F.col("sole").alias("a"), F.col("id").alias("b")), heads, percent))
-    several = shelf.put(_close(met.where("members > 1").select(F.col("g").alias("a"), F.col("id").alias("b")), heads, percent, beyond=True).select(F.col("a").alias("g"), F.col("b").alias("id")))
-    shelf.drop(met)
-    # one link joins a class to a group, so the members with most shared shingles are tried first
-    inside = sizes.join(several.select("g").distinct(), "g", "left_semi")
-    best = Window.partitionBy("g").orderBy(F.desc(F.col("o") / F.col("n")), "id")
-    inner = inside.withColumn("r", F.row_number().over(best)).where(F.col("r") <= CENTRES).select("g", F.col("id").alias("a"))
-    tests = shelf.put(single.union(_close(several.join(inner, "g").select("a", F.col("id").alias("b")), heads, percent)))
-    sets = _sets(shelf, docs, ends(tests), k)
-    links = shelf.put(near.union(_verified(tests, sets, percent)))
-    shelf.drop(single, tests, sets)
-    found = components(links, shelf)
-    own, of = found.select(F.col("v").alias("id"), F.col("c").alias("ci")), found.select(F.col("v").alias("g"), F.col("c").alias("cg"))
-    apart = F.coalesce("ci", "id") != F.coalesce("cg", "g")
-    rest = shelf.put(several.join(own, "id", "left").join(of, "g", "left").where(apart).join(width, "id").select("id", "g", F.col("n").alias("nq")))
-    if not rest.isEmpty():
-        inside = sizes.join(rest.select("g").distinct(), "g", "left_semi")
-        sets = _sets(shelf, docs, rest.select("id").union(inside.select("id")).distinct(), k)
-        union = inside.join(sets, "id").select("g", F.explode("tokens").alias("token")).distinct()
-        asked = rest.join(sets, "id").select("id", "g", "nq", F.explode("tokens").alias("token"))
-        held = asked.join(union, ["g", "token"]).groupBy("id", "g", "nq").agg(F.count("*").alias("bound")).join(spans, "g")
-        # a member has as many shingles as the least of the group, and as a link to the class asks for
-        fewest = F.greatest("least", F.ceil(percent * F.col("nq") / 100))
-        open_ = held.where((100 + percent) * F.col("bound") >= percent * (F.col("nq") + fewest)).select("id", "g", "nq")
-        inner = _close_in_blocks(open_, inside, spans, heads, percent)
-        more = shelf.put(_verified(inner, sets, percent))
-        shelf.drop(sets)
-        if not more.isEmpty():
-            found = components(links.union(more), shelf)
-    shelf.drop(links, near, several, sizes, rest)
-    found = found.select(F.col("v").alias("id"), "c")
-    ids = heads.select("key", "id").join(found, "id", "left").select("key", F.coalesce("c", "id").alias("c"))
+
+    leaders = own.where("id <> g").select("g").distinct()
+    members = own.join(leaders, "g", "left_semi").unionByName(own.join(leaders, "g", "left_anti").join(abroad.select("g").distinct(), "g", "left_semi"))
+    needed = members.select("id").union(leaders.select("g")).union(abroad.select("id")).distinct()
+    sets = _sets(shelf, docs, needed, k)
+    star = shelf.put(_open(leaders.select("g", F.col("g").alias("id"), F.col("g").alias("label")), own.where("id <> g").withColumn("label", F.col("id")), sets, percent))
+    label = shelf.put(own.join(star.select(F.col("b").alias("id"), F.col("a").alias("led")), "id", "left").select("id", "g", F.coalesce("led", "id").alias("label")))
+    at_home = label.where("id <> g AND label = id").select("id", "g", "label")
+    asked = abroad.join(label.select("id", "label"), "id").unionByName(at_home)
+    links = shelf.put(star.unionByName(_open(asked, label, sets, percent)))
+    shelf.drop(sets, own, abroad, label, star)
+    found = components(links, shelf).select(F.col("v").alias("id"), "c")
+    shelf.drop(links)
+    shelf.unshare()
+    ids = heads.join(found, "id", "left").select("key", F.coalesce("c", "id").alias("c"))
     return keys.join(ids, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
