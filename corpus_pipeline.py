@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,26 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.llm import bpe, decontaminate, exact_dedup, jaccard_join, quality
-from quarry.llm.common import cut, table
+from quarry.llm.common import cut, keyed, remove, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key that is never null and stands for one text: doc_id, but a new number above all ids where that is
-    null or has several texts."""
-    h = F.xxhash64(F.coalesce("text", F.lit("")))
-    odd = cut(docs.groupBy("doc_id").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("doc_id IS NULL OR a <> b").select(F.col("doc_id").alias("odd")))
-    if odd.isEmpty():
-        return docs.withColumn("key", F.col("doc_id"))
-    top, same = docs.agg(F.max("doc_id")).first()[0] or 0, F.col("doc_id").eqNullSafe(F.col("odd"))
-    new = cut(docs.join(odd, same, "left_semi").withColumn("key", F.monotonically_increasing_id() + F.lit(top + 1)))
-    return docs.join(odd, same, "left_anti").withColumn("key", F.col("doc_id")).unionByName(new)
-
-
 def without(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """docs without those whose key find returns as doc_id."""
-    rows = keyed(docs)
+    rows, _ = keyed(docs.select(COLUMNS))
     gone = find(rows.withColumn("doc_id", F.col("key")).select(COLUMNS)).select(F.col("doc_id").alias("key"))
     return rows.join(gone, "key", "left_anti").select(COLUMNS)
 
@@ -82,10 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage is written as Parquet to the shared folder and read again by the next."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared}/corpus-{uuid.uuid4().hex}"
+    """Each stage is written as Parquet to the shared folder and read again by the next; a stage's input is deleted once it
+    has been read."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(path)
+        if k:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
