@@ -99,6 +99,11 @@ class Shelf:
         for t in tables:
             remove(self.spark, t.place)
 
+    def tidy(self) -> None:
+        """Let Spark delete the shuffle files of plans that are done with; it does so once the driver has collected its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text, null texts as empty ones."""

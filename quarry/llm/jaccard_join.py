@@ -6,7 +6,8 @@ its probe prefix. Of two linked sets the larger one's probe prefix (its rarest n
 index prefix (its rarest n - ceil(2 * t / (1 + t) * n) + 1) in an order that all documents use, so a link to a smaller or
 equal set of another group is always found. A group is stored in blocks of members, each with the union of its shingles
 and, for each, the members that have it. A block is opened for a class only where the class shares as many shingles with
-the union as a link to any member asks for. Links with a group's leader come first; members that have one are
+the union as a link to any member asks for. A sketch of parities, of which each shingle flips one bit, bounds how many two
+sets can't share, and keeps sets that it rules out from being fetched. Links with a group's leader come first; members that have one are
 joined by it, the others ask their own group too. How classes are grouped and ordered affects speed alone.
 """
 
@@ -26,8 +27,10 @@ from quarry.llm.features import A, B, Words, hashes, words_of
 HINTS, FREQUENT = 100_000, 8
 #: Bits of the filter that picks documents by id: 16 for each id, at least and at most 2**these.
 BITMAP = (20, 28)
-#: Members of a group, and classes that ask for it, in a block, on average.
-BLOCK = 128
+#: Bytes of the sets of a group's members, or of classes that ask for it, in a block, on average.
+BLOCK = 4 << 20
+#: Followers of a leader that are many.
+CROWD = 64
 #: Parts that joins on one vertex or label are dealt to.
 SALT = 16
 #: Bytes of sets that a task holds before it hands them on.
@@ -98,31 +101,77 @@ def _marks(ids: DataFrame) -> tuple[int, np.ndarray]:
     return bits, out
 
 
+def _marked(marks: tuple[int, np.ndarray], ids: np.ndarray) -> np.ndarray:
+    bit = _bit(ids, marks[0])
+    return (marks[1][bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+
+
+def _postings(shelf: Shelf, classes: DataFrame, common: DataFrame) -> DataFrame:
+    """token, id, n, pos of the shingles in common, and of a few that share their bit."""
+    shared = shelf.share(_marks(common.select(F.col("token").alias("id"))))
+
+    @frugal
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            size = np.array([len(p) for p in f["prefix"]])
+            token = np.concatenate([np.asarray(p, np.int64) for p in f["prefix"]])
+            pos = np.arange(token.size) - np.repeat(np.cumsum(size) - size, size)
+            keep = _marked(shared.value, token)
+            yield pd.DataFrame({"token": token, "id": np.repeat(f["id"].to_numpy(), size), "n": np.repeat(f["n"].to_numpy(), size), "pos": pos})[keep]
+
+    return classes.select("id", "n", "prefix").mapInPandas(run, "token long, id long, n int, pos int")
+
+
 def _sets(shelf: Shelf, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, tokens of the documents with these ids, and of a few that share their bit: texts needn't move to be picked."""
+    """id, size in bytes, tokens of the documents with these ids, and of a few that share their bit: texts needn't move to be picked."""
     shared = shelf.share(_marks(ids))
 
     @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, (bits, marks) = Words(), shared.value
+        memo = Words()
         for f in frames:
-            bit = _bit(f["doc_id"].to_numpy(np.int64), bits)
             rows, size = [], 0
-            f = f[(marks[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1).astype(bool)]
+            f = f[_marked(shared.value, f["doc_id"].to_numpy(np.int64))]
             for d, t in zip(f["doc_id"], f["text"], strict=True):
-                rows.append((d, shingles(t, k, memo).tobytes()))
-                size += len(rows[-1][1])
+                tokens = shingles(t, k, memo).tobytes()
+                rows.append((d, len(tokens), tokens))
+                size += len(tokens)
                 if size > HELD:
-                    yield pd.DataFrame(rows, columns=["id", "tokens"])
+                    yield pd.DataFrame(rows, columns=["id", "size", "tokens"])
                     rows, size = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=["id", "tokens"])
+                yield pd.DataFrame(rows, columns=["id", "size", "tokens"])
+
+    return shelf.put(docs.mapInPandas(run, "id long, size long, tokens binary"))
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    """A bit for the parity of each of 2**k bins of the set, two to four for each shingle: unlike sets differ in enough of them."""
+    bins = 2 << max(5, int(s.size - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).astype(np.uint8)).tobytes()
+
 
-    return shelf.put(docs.mapInPandas(run, "id long, tokens binary").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+def _differ(one: bytes, two: bytes) -> int:
+    """At least so many shingles are in one of the two sets alone: each flips one bit."""
+    x, y = sorted((np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, x.size))).sum())
+
+
+def _near(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs id, g whose sketches differ in no more than x * the size of id + y * that of g."""
+    side = lambda c: heads.select(F.col("id").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("s" + c))
+
+    @frugal
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            least = np.fromiter(map(_differ, f["sid"], f["sg"]), np.int64, len(f))
+            yield f.loc[least <= f["x"] * f["nid"] + f["y"] * f["ng"] + 1e-6, ["id", "g"]]
+
+    return pairs.join(side("id"), "id").join(side("g"), "g").mapInPandas(run, "id long, g long")
 
 
 def _signed(shelf: Shelf, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, key of the set, and the probe prefix in the common order."""
+    """doc_id, n, key of the set, a sketch, and the probe prefix in the common order."""
     often = _frequent(docs, k)
     order = np.argsort(often)
     shared = shelf.share((often[order], order))
@@ -143,32 +192,40 @@ def _signed(shelf: Shelf, docs: DataFrame, k: int, percent: int) -> DataFrame:
                         at = np.minimum(np.searchsorted(known, s), known.size - 1)
                         place = np.where(known[at] == s, rank[at], -1)
                     prefix = s[np.lexsort((s, place))[: s.size - -(-percent * s.size // 100) + 1]]
-                rows.append((d, s.size, xxhash.xxh3_128_digest(s.tobytes()), prefix.view(np.int64)))
-                size += prefix.nbytes + 64
+                rows.append((d, s.size, xxhash.xxh3_128_digest(s.tobytes()), prefix.view(np.int64), _sketch(s)))
+                size += prefix.nbytes + s.size // 2 + 64
                 if size > HELD:
-                    yield pd.DataFrame(rows, columns=["doc_id", "n", "key", "prefix"])
+                    yield pd.DataFrame(rows, columns=["doc_id", "n", "key", "prefix", "sketch"])
                     rows, size = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "n", "key", "prefix"])
+                yield pd.DataFrame(rows, columns=["doc_id", "n", "key", "prefix", "sketch"])
+
+    return shelf.put(docs.mapInPandas(run, "doc_id long, n long, key binary, prefix array<long>, sketch binary"))
+
+
+class _Forest(dict):
+    """Roots of labels; the least one that a set of joined labels has."""
+
+    def find(self, x: int) -> int:
+        while (up := self.get(x, x)) != x:
+            self[x] = self.get(up, up)
+            x = up
+        return x
 
-    return shelf.put(docs.mapInPandas(run, "doc_id long, n long, key binary, prefix array<long>"))
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self[max(a, b)] = min(a, b)
+        return a != b
 
 
-def _block_links(asked: list[dict], members: list[dict], percent: int) -> list[tuple[int, int]]:
+def _block_links(asked: list[dict], members: list[dict], label: dict[int, int], percent: int) -> tuple[list[tuple[int, int]], _Forest]:
     """Links between classes of a block and members of a block, without those that others, or equal labels, imply."""
     sets = [np.frombuffer(m["tokens"], np.uint64) for m in members]
     size = np.array([s.size for s in sets])
     union, of = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(size.size), size)[np.argsort(of, kind="stable")]
     start = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=union.size))])
-    least, root, out = int(size.min()), {}, []
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
+    least, joined, out = int(size.min()), _Forest(), []
     for q in asked:
         s = np.frombuffer(q["tokens"], np.uint64)
         at = np.minimum(np.searchsorted(union, s), union.size - 1)
@@ -178,33 +235,56 @@ def _block_links(asked: list[dict], members: list[dict], percent: int) -> list[t
         n = start[at + 1] - start[at]
         both = np.bincount(owner[np.repeat(start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=size.size)
         for m in np.flatnonzero(100 * both >= percent * (s.size + size - both)).tolist():
-            a, b = find(q["label"]), find(members[m]["label"])
-            if a != b:
-                root[max(a, b)] = min(a, b)
+            if joined.join(label.get(q["id"], q["id"]), label.get(members[m]["id"], members[m]["id"])):
                 out.append((q["id"], members[m]["id"]))
-    return out
+    return out, joined
 
 
-def _open(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between the classes that ask for a group and its members; both with g, id and a label that only classes
-    of one component share. Rows are pairs of blocks, so neither side of a group is ever in one place."""
-    parts = lambda rows, name: rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+def _groups(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """g, mk, blocks, m: the members of each group (g, id) in blocks of bounded size, with their sets; the leader is in all of them."""
+    parts = rows.join(sets.select("id", "size"), "id").groupBy("g").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+    place = F.when(F.col("id") == F.col("g"), every).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    dealt = rows.join(parts, "g").select("g", "id", "blocks", F.explode(place).alias("mk"))
+    return dealt.join(sets.select("id", "tokens"), "id").groupBy("g", "mk", "blocks").agg(F.collect_list(F.struct("id", "tokens")).alias("m"))
 
-    def packed(rows: DataFrame, part: str, name: str, *more: str) -> DataFrame:
-        return rows.join(sets, "id").groupBy("g", F.pmod(F.xxhash64("id"), F.col(part)).alias(part), *more).agg(F.collect_list(F.struct("id", "label", "tokens")).alias(name))
 
-    within = parts(members, "mk")
-    one = packed(asked.join(parts(asked, "ak"), "g").join(within.withColumnRenamed("mk", "blocks"), "g"), "ak", "a", "blocks")
-    two = packed(members.join(asked.select("g").distinct(), "g", "left_semi").join(within, "g"), "mk", "m")
-    each = one.select("g", "a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mk"))
+def _within(groups: DataFrame, percent: int) -> DataFrame:
+    """g, mk, blocks, id, label for the members of each block: equal labels for what links join there, the leader where it is one of
+    them."""
+
+    @frugal
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for g, mk, blocks, m in zip(f["g"], f["mk"], f["blocks"], f["m"], strict=True):
+                ids = np.array([x["id"] for x in m], np.int64)
+                joined = _block_links(m, m, {}, percent)[1] if len(m) > 1 else _Forest()
+                lead = joined.find(g)
+                roots = [g if (r := joined.find(int(i))) == lead else r for i in ids]
+                yield pd.DataFrame({"g": g, "mk": mk, "blocks": blocks, "id": ids, "label": roots})
+
+    return groups.mapInPandas(run, "g long, mk long, blocks long, id long, label long")
+
+
+def _across(asked: DataFrame, groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between classes (g, id, label) and the members of the groups that they ask. Rows are pairs of blocks, so neither
+    side of a group is ever in one place."""
+    sized = asked.join(sets.select("id", "size"), "id").groupBy("g").agg(F.ceil(F.sum("size") / BLOCK).alias("ak"))
+    dealt = asked.join(sized, "g").withColumn("ak", F.pmod(F.xxhash64("id"), F.col("ak"))).join(sets.select("id", "tokens"), "id")
+    one = dealt.groupBy("g", "ak").agg(F.collect_list(F.struct("id", "label", "tokens")).alias("a"))
+    wanted = asked.select("g").distinct()
+    known = labels.join(wanted, "g", "left_semi").groupBy("g", "mk").agg(F.collect_list(F.struct("id", "label")).alias("l"))
+    two = groups.join(wanted, "g", "left_semi")
+    each = one.join(labels.join(wanted, "g", "left_semi").select("g", "blocks").distinct(), "g").select("g", "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("mk"))
 
     @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for a, m in zip(f["a"], f["m"], strict=True):
-                yield pd.DataFrame(_block_links(a, m, percent), columns=["a", "b"], dtype=np.int64)
+            for a, m, l in zip(f["a"], f["m"], f["l"], strict=True):
+                label = {x["id"]: x["label"] for x in l} | {x["id"]: x["label"] for x in a}
+                yield pd.DataFrame(_block_links(a, m, label, percent)[0], columns=["a", "b"], dtype=np.int64)
 
-    return each.join(two, ["g", "mk"]).select("a", "m").mapInPandas(run, "a long, b long")
+    return two.join(known, ["g", "mk"]).join(each, ["g", "mk"]).select("a", "m", "l").mapInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame, shelf: Shelf) -> DataFrame:
@@ -248,25 +328,35 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """linked for ids that are never null and stand for one text each."""
     shelf = Shelf(docs.sparkSession)
     signed = _signed(shelf, docs, k, percent)
-    classes = shelf.put(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    classes = shelf.put(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
     keys = shelf.put(signed.select("doc_id", "n", "key"))
     shelf.drop(signed)
+    shelf.tidy()
     indexed = F.col("pos") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
-    postings = classes.select("id", F.col("n").cast("int"), F.posexplode("prefix").alias("pos", "token")).withColumn("indexed", indexed)
-    common = postings.groupBy("token").agg(F.count("*").alias("df"), F.max("indexed").alias("indexed")).where("df > 1 AND indexed").select("token")
-    posted = shelf.put(postings.join(common, "token"))
-    heads = shelf.put(classes.select("key", "id"))
-    shelf.drop(classes)
+    whole = classes.select("n", F.posexplode("prefix").alias("pos", "token")).select("token", indexed.alias("indexed"))
+    common = shelf.put(whole.groupBy("token").agg(F.count("*").alias("df"), F.max("indexed").alias("indexed")).where("df > 1 AND indexed").select("token"))
+    posted = shelf.put(_postings(shelf, classes, common).withColumn("indexed", indexed).join(common, "token"))
+    heads = shelf.put(classes.select("key", "id", "n", "sketch"))
+    shelf.drop(classes, common)
+    shelf.tidy()
 
     # of the classes with a shingle, the one that has the largest part of its prefix in common with others leads the rest;
-    # a class goes to the leader that most of its shingles name
+    # a class goes to the leader that most of its shingles name, if it can be linked to it; if many name that leader, also if
+    # both can be linked to a third, so that near misses of a large group are of it
     shares = posted.groupBy("id").agg(F.count("*").alias("o"))
     part = F.struct(F.col("o") / F.col("n"), (-F.col("id")).alias("x"))
     firsts = posted.join(shares, "id").groupBy("token").agg((-F.max(part).getField("x")).alias("first"))
     named = posted.join(firsts, "token").groupBy("id", "first").agg(F.count("*").alias("o"))
     own = shelf.put(named.groupBy("id").agg((-F.max(F.struct("o", (-F.col("first")).alias("x"))).getField("x")).alias("g")))
-    grouped = shelf.put(posted.join(own, "id"))
-    shelf.drop(posted)
+    follow = own.where("id <> g")
+    crowded = shelf.put(follow.groupBy("g").agg((F.count("*") > CROWD).alias("many")))
+    # sketches of linked sets differ by a * both sizes at most; those of two sets with a link to a third by b * both sizes
+    a, b = (100 - percent) / (100 + percent), (200 - 2 * percent) / (2 * percent)
+    reach = F.when(F.col("many"), b).otherwise(a)
+    near = shelf.put(_near(follow.join(crowded, "g").select("id", "g", reach.alias("x"), reach.alias("y")), heads))
+    led = own.select("id").join(near, "id", "left").select("id", F.coalesce("g", "id").alias("g"))
+    grouped = shelf.put(posted.join(led, "id"))
+    shelf.drop(posted, own)
 
     # the token-group matrix, with what bounds the overlap with any member that has the shingle in its index prefix
     matrix = grouped.where("indexed").groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
@@ -274,19 +364,29 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     fewest = F.greatest("least", F.ceil(percent * F.col("n") / 100))
     met = (F.col("g") != F.col("home")) & F.col("n").between(F.col("least"), F.floor(100 * F.col("most") / percent))
     met &= (100 + percent) * F.least(F.col("rest"), F.col("n") - F.col("pos")) >= percent * (F.col("n") + fewest)
-    abroad = shelf.put(asks.join(matrix, "token").where(met).select("id", "g").distinct())
-    shelf.drop(grouped)
-
-    leaders = own.where("id <> g").select("g").distinct()
-    members = own.join(leaders, "g", "left_semi").unionByName(own.join(leaders, "g", "left_anti").join(abroad.select("g").distinct(), "g", "left_semi"))
-    needed = members.select("id").union(leaders.select("g")).union(abroad.select("id")).distinct()
-    sets = _sets(shelf, docs, needed, k)
-    star = shelf.put(_open(leaders.select("g", F.col("g").alias("id"), F.col("g").alias("label")), own.where("id <> g").withColumn("label", F.col("id")), sets, percent))
-    label = shelf.put(own.join(star.select(F.col("b").alias("id"), F.col("a").alias("led")), "id", "left").select("id", "g", F.coalesce("led", "id").alias("label")))
-    at_home = label.where("id <> g AND label = id").select("id", "g", "label")
-    asked = abroad.join(label.select("id", "label"), "id").unionByName(at_home)
-    links = shelf.put(star.unionByName(_open(asked, label, sets, percent)))
-    shelf.drop(sets, own, abroad, label, star)
+    pairs = asks.join(matrix, "token").where(met).select("id", "g").distinct()
+    own = shelf.put(grouped.select("id", "g").distinct())
+    leaders = shelf.put(own.where("id <> g").select("g").distinct())
+    # differences of sketches add up: from a class to the smaller member that it links to, and on to the leader
+    spread = leaders.join(crowded, "g", "left").select("g", F.when(F.col("many"), b).otherwise(a).alias("y"))
+    to = pairs.join(spread, "g", "left").select("id", "g", F.coalesce(F.col("y") + 2 * a, F.lit(a)).alias("x"), F.coalesce("y", F.lit(a)).alias("y"))
+    abroad = shelf.put(_near(to, heads))
+    shelf.drop(grouped, near, crowded)
+    shelf.tidy()
+
+    inside = own.join(leaders.union(abroad.select("g")).distinct(), "g", "left_semi").select("g", "id").union(leaders.select("g", F.col("g").alias("id"))).distinct()
+    sets = _sets(shelf, docs, inside.select("id").union(abroad.select("id")).distinct(), k)
+    shelf.tidy()
+    groups = shelf.put(_groups(inside, sets))
+    labels = shelf.put(_within(groups, percent))
+    # members of groups of several blocks that no link joins to the leader ask their own group, others those that they may link to
+    apart = labels.where("blocks > 1 AND label <> g AND id <> g").select("g", "id", "label")
+    asked = shelf.put(abroad.select("g", "id", F.col("id").alias("label")).unionByName(apart))
+    shelf.tidy()
+    edges = labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+    links = shelf.put(edges.unionByName(_across(asked, groups, labels, sets, percent)))
+    shelf.drop(sets, groups, labels, asked, own, leaders, abroad)
+    shelf.tidy()
     found = components(links, shelf).select(F.col("v").alias("id"), "c")
     shelf.drop(links)
     shelf.unshare()
