@@ -132,6 +132,27 @@ def test_jaccard_join(spark, docs, empty):
     assert jaccard_join.linked(empty).count() == 0
 
 
+def test_jaccard_join_of_large_groups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4000)
+    monkeypatch.setattr(jaccard_join, "CROWD", 8)
+    base, texts = prose(80).split(), {}
+    for i in range(120):
+        copy = base[:]
+        for _ in range(i % 7):
+            copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+        texts[i] = " ".join(copy)
+    for k, percent in ((4, 85), (5, 80)):
+        got = rows(jaccard_join.linked(spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(5), k, percent))
+        assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts, k, percent)
+
+
+def test_jaccard_join_with_null_and_repeated_ids(spark):
+    a = " ".join(f"a{k}" for k in range(60))
+    data = [(None, a), (7, a + " b"), (7, "other text of its own"), (3, a), (None, "alone here it is")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.linked(spark.createDataFrame(data, "doc_id long, text string"), 4, 85).collect()), key=str)
+    assert got == sorted([(None, 57, 3), (7, 58, 3), (7, 2, 7), (3, 57, 3), (None, 1, None)], key=str)
+
+
 def test_bpe_against_tiktoken(docs, empty):
     public = pytest.importorskip("public_tokenizers")
     import tiktoken
@@ -268,15 +289,72 @@ def test_pitman_yor(docs, empty):
     assert pitman_yor.score(empty).count() == 0
 
 
+def tables_of_a_dish(c, others, p, d):
+    """Exact probabilities of 1 to c tables, by generalised Stirling numbers."""
+    s = {(1, 1): 1.0}
+    for n in range(1, c):
+        for t in range(1, n + 2):
+            s[n + 1, t] = s.get((n, t - 1), 0) + (n - d * t) * s.get((n, t), 0)
+    w = np.array([s[c, t] * np.prod([(others + d * k) * p for k in range(1, t)]) for t in range(1, c + 1)])
+    return w / w.sum()
+
+
+@pytest.mark.parametrize("case", [(6, 3.0, 0.5, 0.5), (9, 1.0, 0.9, 0.75), (5, 0.2, 0.3, 0.25), (40, 5.0, 0.01, 0.5)])
+def test_pitman_yor_seating_has_the_exact_posterior(case):
+    c, others, p, d = case
+    draws, n, path = np.random.default_rng(1), 20_000, None
+    for _ in range(12):
+        path = pitman_yor._reseat(path, np.full(n, c), np.full(n, others), np.full(n, p), d, draws)
+    got = np.bincount(path.tables, minlength=c + 1)[1:] / n
+    assert np.abs(got - tables_of_a_dish(*case)).max() < 0.02
+
+
+def test_pitman_yor_evidence():
+    draws, count = np.random.default_rng(2), np.array([7, 3, 1, 12])
+    path = pitman_yor._propose(count, np.full(4, 2.0), np.full(4, 0.5), 0.5, draws)
+    want = np.zeros(pitman_yor.DISCOUNTS.size)
+    for i, n in enumerate(count):
+        opened, t = {*path.at[path.dish == i].tolist()}, 1
+        for x in range(1, n):
+            if x in opened:
+                t += 1
+            else:
+                want += np.log(x - pitman_yor.DISCOUNTS * t)
+    assert pitman_yor._joined(path, count) == pytest.approx(want)
+    d, s = pitman_yor.DISCOUNTS[4], pitman_yor.STRENGTHS[2]
+    each = [sum(math.log(s + d * m) for m in range(1, t)) - math.lgamma(s + c) + math.lgamma(s + 1) for c, t in ((5, 2), (9, 4))]
+    assert pitman_yor._opened(np.array([5, 9, 1]), np.array([2, 4, 1]))[4, 2] == pytest.approx(sum(each))
+
+
 def test_pitman_yor_is_a_distribution():
-    word = np.array([64, 96, 128], np.uint64)
-    b = pitman_yor._Bucket(word, np.array([0, 2, 3, 4]), np.array([0, 3, 3, 5], np.uint8), np.array([5, 1, 2, 9]), 3)
-    for k in range(3):
-        s = b.sums()
-        for ctx in range(8):
-            p = b.predict(s, np.array([64, 96, 128, 999], np.uint64), np.full(4, ctx))
-            assert p.sum() == pytest.approx(1)
-        b.sweep(s, k)
+    word, ctx = np.array([64, 96, 128], np.uint64), np.array([3, 5], np.uint64)
+    b = pitman_yor._Bucket(ctx, word, np.array([0, 0, 1, 1]), np.array([0, 1, 0, 2]), np.array([5, 1, 2, 9]))
+    totals = {"tables": 3, "customers": 4, "vocabulary": 3, "discount": 0.5, "strength": 1.0}
+    parent = pitman_yor._parent(np.array([2, 1, 1, 0]), np.array([1, 1, 1, 0]), totals)
+    assert parent.sum() == pytest.approx(1)
+    asked = np.append(word, np.uint64(999))
+    for seed in range(3):
+        sums, _ = b.epoch(parent[:3], 0.5, 1.0, seed)
+        tables = b.mean(sums)
+        whole = np.stack([b.customers, np.bincount(b.ctx, tables, 2)])
+        for c in (3, 5, 7):
+            p = b.predict(tables, whole, asked, parent, 0.5, 1.0, np.full(4, c, np.uint64), asked)
+            assert p.sum() == pytest.approx(1) and (p > 0).all()
+
+
+def test_pitman_yor_with_restaurants_in_several_buckets(spark, monkeypatch):
+    """Small buckets and blocks: the same counts, and close scores."""
+    data = [(i, f"the {chr(97 + i % 7)} the {chr(97 + i % 11)} of the {chr(97 + i % 5)}") for i in range(300)] + [(300, None), (None, "the a")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    one = {r.doc_id: r for r in pitman_yor.score(docs).collect()}
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 400)
+    monkeypatch.setattr(pitman_yor, "BLOCK_TOKENS", 200)
+    monkeypatch.setattr(pitman_yor, "MEET", 2)
+    two = {r.doc_id: r for r in pitman_yor.score(docs).collect()}
+    assert {*one} == {*two} == {*range(301), None} and one[None].held_out
+    for i in one:
+        assert (one[i].n_tokens, one[i].n_known, one[i].train_tokens, one[i].base_score) == (two[i].n_tokens, two[i].n_known, two[i].train_tokens, pytest.approx(two[i].base_score))
+        assert one[i].score == pytest.approx(two[i].score, rel=0.1, abs=0.2)
 
 
 def test_pitman_yor_has_a_restaurant_for_each_preceding_word(spark):
