@@ -1,245 +1,490 @@
-"""Registered queries of the retail engine and their DuckDB twins.
-
-TWINS are in the SQL that both engines share; {names} stand for frames in Spark and for the CTEs of BASE in DuckDB.
-"""
+"""Registered queries of the retail engine, by the operators; their DuckDB twins are in oracle."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quarry.operators import core
+from quarry.functions import all_or, mask_email, mask_name, row_hash, surrogate_key
+from quarry.operators import churn, cleaning, history, marts, merge, quality
+from quarry.plans import flows, policies, reports
+from quarry.settings import scratch
+from quarry.sources import landing
 from quarry.sources import retail as src
+from quarry.sources.versioned import VersionedTable
+from quarry.streaming import sinks, windows
+
+#: The time at which the quality rules are held against the tables (the newest orders are later), and 'today' of the marts.
+NOW, TODAY = datetime(2001, 7, 1), date(2001, 8, 10)
+TRACKED = ["full_name", "email", "phone", "country", "city", "segment"]
+CUSTOMER = ["customer_id", "full_name", "email", "phone", "country", "city", "segment", "signup_date", "is_email_valid"]
+
+
+class Model:
+    """The cleaned entities and marts over the tables of a folder, each built when asked for."""
+
+    def __init__(self, spark: SparkSession, d: str) -> None:
+        self.spark, self.d = spark, d
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return cleaning.clean_orders(src.raw_orders(self.spark, self.d))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return cleaning.clean_items(src.raw_items(self.spark, self.d), within="order_id")
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return cleaning.clean_products(src.raw_products(self.spark, self.d))
+
+    @cached_property
+    def clicks(self) -> DataFrame:
+        return cleaning.clean_clicks(src.raw_clicks(self.spark, self.d))
+
+    @cached_property
+    def feed(self) -> DataFrame:
+        """All versions of the customers."""
+        return cleaning.clean_customers(src.raw_customers(self.spark, self.d))
+
+    @cached_property
+    def customer_history(self) -> DataFrame:
+        return history.scd2(self.feed, "customer_id", ["updated_at"], TRACKED)
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return history.current(self.customer_history)
+
+    @cached_property
+    def sold(self) -> DataFrame:
+        return marts.sales(self.orders, self.items)
+
+    @cached_property
+    def fact(self) -> DataFrame:
+        return marts.fact_items(self.orders, self.items, self.products)
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        return marts.daily_sales(self.fact)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return marts.rfm(self.sold, TODAY)
+
+    @cached_property
+    def cut(self) -> date:
+        return churn.cut_off(self.sold)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return churn.features(self.customers, self.fact, self.clicks, self.cut)
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return churn.labels(self.features, self.sold, self.cut)
+
+
+QUERIES: dict[str, Callable[[Model], DataFrame]] = {}
+
+
+def query(f: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
 
-#: The time at which the quality rules are held against the tables; the newest orders are later.
-NOW = datetime(2001, 7, 1)
-
-BASE = """
-WITH orders_raw AS (
-  SELECT o_orderkey::VARCHAR order_id, o_custkey::VARCHAR customer_id, o_orderdate::TIMESTAMP order_ts,
-         CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'created' ELSE 'paid' END status,
-         lower(trim(o_orderpriority)) channel, 'EUR' currency, upper(n_name) shipping_country
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-orders_c AS (
-  SELECT *, order_ts::DATE order_date, status IN ('paid','shipped','delivered') is_revenue FROM (
-    SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY order_ts DESC NULLS LAST, status DESC NULLS LAST, customer_id DESC NULLS LAST) rn FROM orders_raw) WHERE rn = 1),
-items_c AS (
-  SELECT *, (quantity * unit_price)::DECIMAL(14,2) line_amount FROM (
-    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ingested_at DESC, product_id, supplier_id, quantity, discount_pct) rn FROM (
-      SELECT l_orderkey || '-' || l_linenumber item_id, l_orderkey::VARCHAR order_id, l_partkey::VARCHAR product_id, l_quantity::INT quantity,
-             p_retailprice::DECIMAL(12,2) unit_price, l_discount::DECIMAL(4,2) discount_pct, l_shipdate ingested_at, l_suppkey supplier_id
-      FROM lineitem JOIN part ON l_partkey = p_partkey)) WHERE rn = 1),
-products_c AS (
-  SELECT p_partkey::VARCHAR product_id, p_name product_name, upper(p_type[1]) || lower(p_type[2:]) category,
-         CASE WHEN p_size <= 15 THEN 'Small' WHEN p_size <= 35 THEN 'Medium' ELSE 'Large' END subcategory, p_brand brand, p_retailprice::DECIMAL(12,2) list_price
-  FROM part),
-clicks_c AS (
-  SELECT event_id::VARCHAR event_id, user_id || '-' || strftime(ts, '%Y%m%d') session_id, user_id::VARCHAR customer_id, ts event_ts,
-         CASE event_type WHEN 'signup' THEN 'page_view' WHEN 'view' THEN 'product_view' WHEN 'click' THEN 'add_to_cart' WHEN 'purchase' THEN 'checkout' ELSE 'other' END event_type,
-         json_extract_string(props, '$.k') product_id,
-         CASE (json_extract_string(props, '$.k')::INT) % 3 WHEN 0 THEN 'desktop' WHEN 1 THEN 'mobile' ELSE 'tablet' END device,
-         ts::DATE event_date, event_type = 'purchase' is_conversion FROM events),
-fact_c AS (
-  SELECT item_id, i.order_id, customer_id, product_id, order_date, order_ts, status, channel, shipping_country, is_revenue, category, brand, quantity,
-         line_amount gross, (line_amount * discount_pct)::DECIMAL(14,2) discount,
-         (line_amount - (line_amount * discount_pct)::DECIMAL(14,2))::DECIMAL(14,2) net
-  FROM items_c i JOIN orders_c o USING (order_id) LEFT JOIN products_c USING (product_id)),
-customers_c AS (
-  SELECT c_custkey::VARCHAR customer_id, c_name full_name, lower(c_mktsegment) segment, n_name country, r_name region,
-         lower(replace(c_name, '#', '.')) || CASE WHEN c_custkey % 50 = 0 THEN '#' ELSE '@' END || 'mail.example' email
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
-"""
-
-
-def frames(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    orders, items = core.clean_orders(src.raw_orders(spark, d)), core.clean_items(src.raw_items(spark, d))
-    products, clicks = core.clean_products(src.raw_products(spark, d)), core.clean_clicks(src.raw_clicks(spark, d))
-    return {"orders": orders, "items": items, "products": products, "clicks": clicks, "fact": fact(orders, items, products), "customers": customers(spark, d)}
-
-
-def customers(spark: SparkSession, d: str) -> DataFrame:
-    c, n, r = (src.read(spark, d, x) for x in ("customer", "nation", "region"))
-    mark = F.when(F.col("c_custkey") % 50 == 0, "#").otherwise("@")
-    return (
-        c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
-        .join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
-        .select(
-            F.col("c_custkey").cast("string").alias("customer_id"), F.col("c_name").alias("full_name"), F.lower("c_mktsegment").alias("segment"), F.col("n_name").alias("country"),
-            F.col("r_name").alias("region"), F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), mark, F.lit("mail.example")).alias("email"),
-        )
-    )
-
-
-def fact(orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
-    """One row per item; products are joined by Spark's own choice, so that a large catalogue is never forced to broadcast."""
-    discount = (F.col("line_amount") * F.col("discount_pct")).cast("decimal(14,2)")
-    joined = items.join(orders, "order_id").join(products.select("product_id", "category", "brand"), "product_id", "left")
-    return joined.select(
-        "item_id", "order_id", "customer_id", "product_id", "order_date", "order_ts", "status", "channel", "shipping_country", "is_revenue", "category", "brand", "quantity",
-        F.col("line_amount").alias("gross"), discount.alias("discount"), (F.col("line_amount") - discount).cast("decimal(14,2)").alias("net"),
-    )
-
-
-MONEY = "DECIMAL(28,2)"
-DAILY = f"""SELECT order_date, channel, category, count(DISTINCT order_id) orders_cnt, count(DISTINCT customer_id) customers_cnt, CAST(sum(quantity) AS BIGINT) units,
-  CAST(sum(gross) AS {MONEY}) gross_revenue, CAST(sum(discount) AS {MONEY}) discount_total, CAST(sum(net) AS {MONEY}) net_revenue FROM {{fact}} WHERE is_revenue GROUP BY order_date, channel, category"""
-SESSIONS = """SELECT session_id, min(customer_id) customer_id, min(device) device, min(event_ts) started, max(event_ts) ended, count(*) events, count(DISTINCT product_id) products,
-  max(CASE WHEN is_conversion THEN 1 ELSE 0 END) converted FROM {clicks} GROUP BY session_id"""
-RFM = f"""SELECT *, r + f + m AS rfm_score, CASE WHEN r >= 4 AND f >= 4 THEN 'champions' WHEN r >= 4 THEN 'new_or_promising' WHEN r <= 2 AND m >= 4 THEN 'at_risk_high_value'
-  WHEN r <= 2 THEN 'hibernating' ELSE 'loyal' END rfm_segment FROM (SELECT customer_id, last_order, frequency, monetary,
-  CAST(6 - ntile(5) OVER (ORDER BY last_order DESC, customer_id) AS INT) r, CAST(ntile(5) OVER (ORDER BY frequency, customer_id) AS INT) f, CAST(ntile(5) OVER (ORDER BY monetary, customer_id) AS INT) m
-  FROM (SELECT customer_id, max(order_date) last_order, count(DISTINCT order_id) frequency, CAST(sum(net) AS {MONEY}) monetary FROM {{fact}} WHERE is_revenue GROUP BY customer_id) q) s"""
-
-TWINS = {
-    "clean_orders": "SELECT order_id, customer_id, order_ts, status, channel, currency, shipping_country, order_date, is_revenue FROM {orders}",
-    "clean_items": "SELECT item_id, order_id, product_id, quantity, unit_price, discount_pct, line_amount FROM {items}",
-    "clean_products": "SELECT product_id, product_name, category, subcategory, brand, list_price FROM {products}",
-    "clean_clicks": "SELECT event_id, session_id, customer_id, event_ts, event_type, product_id, device, event_date, is_conversion FROM {clicks}",
-    "fact_items": "SELECT * FROM {fact}",
-    "daily_sales": f"""SELECT *, CAST(floor(100 * CAST(net_revenue AS DOUBLE) / orders_cnt + 0.5) / 100 AS DECIMAL(14,2)) aov,
-        round(avg(CAST(net_revenue AS DOUBLE)) OVER (PARTITION BY channel, category ORDER BY order_date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW), 4) avg_7d FROM ({DAILY}) q""",
-    "rfm": RFM,
-    "rfm_segments": f"SELECT rfm_segment, count(*) customers, CAST(sum(monetary) AS {MONEY}) monetary FROM ({RFM}) z GROUP BY rfm_segment",
-    "top_products": f"""SELECT * FROM (SELECT *, CAST(dense_rank() OVER (PARTITION BY category ORDER BY net_revenue DESC) AS INT) position FROM (SELECT category, product_id, brand,
-        CAST(sum(quantity) AS BIGINT) units, CAST(sum(net) AS {MONEY}) net_revenue, count(DISTINCT order_id) orders_cnt FROM {{fact}} WHERE is_revenue GROUP BY category, product_id, brand) q) s WHERE position <= 10""",
-    "sessions": SESSIONS,
-    "customer_360": f"""SELECT c.customer_id, c.segment, c.country, coalesce(p.orders_cnt, 0) orders_cnt, coalesce(p.revenue, CAST(0 AS {MONEY})) revenue, p.last_order, coalesce(b.sessions, 0) sessions
-        FROM {{customers}} c LEFT JOIN (SELECT customer_id, count(DISTINCT order_id) orders_cnt, CAST(sum(net) AS {MONEY}) revenue, max(order_date) last_order FROM {{fact}} WHERE is_revenue GROUP BY customer_id) p
-        ON c.customer_id = p.customer_id LEFT JOIN (SELECT customer_id, count(DISTINCT session_id) sessions FROM {{clicks}} GROUP BY customer_id) b ON c.customer_id = b.customer_id""",
-    "revenue_by_day": f"SELECT order_date, CAST(sum(net) AS {MONEY}) revenue, count(DISTINCT order_id) orders_cnt FROM {{fact}} WHERE is_revenue GROUP BY order_date",
-    "revenue_overview": f"""SELECT CAST(sum(net_revenue) AS {MONEY}) revenue, CAST(sum(orders_cnt) AS BIGINT) orders_cnt, CAST(sum(units) AS BIGINT) units,
-        round(CAST(sum(net_revenue) AS DOUBLE) / nullif(CAST(sum(orders_cnt) AS DOUBLE), 0), 2) aov, round(100 * CAST(sum(discount_total) AS DOUBLE) / nullif(CAST(sum(gross_revenue) AS DOUBLE), 0), 2) discount_share
-        FROM ({DAILY}) q WHERE order_date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'""",
-    "cohort_retention": """WITH act AS (SELECT DISTINCT customer_id, CAST(date_trunc('month', order_date) AS DATE) m FROM {fact} WHERE is_revenue),
-        born AS (SELECT customer_id, min(m) cohort FROM act GROUP BY customer_id), size AS (SELECT cohort, count(*) n FROM born GROUP BY cohort)
-        SELECT b.cohort, CAST((year(a.m) - year(b.cohort)) * 12 + month(a.m) - month(b.cohort) AS INT) month_no, count(*) customers, round(100.0 * CAST(count(*) AS DOUBLE) / max(s.n), 1) retention
-        FROM act a JOIN born b ON a.customer_id = b.customer_id JOIN size s ON b.cohort = s.cohort GROUP BY 1, 2""",
-    "funnel": """SELECT device, count(*) sessions, CAST(sum(v) AS BIGINT) viewed, CAST(sum(c) AS BIGINT) carted, CAST(sum(k) AS BIGINT) bought, round(100.0 * CAST(sum(c) AS DOUBLE) / nullif(sum(v), 0), 2) view_to_cart
-        FROM (SELECT session_id, device, max(CASE WHEN event_type = 'product_view' THEN 1 ELSE 0 END) v, max(CASE WHEN event_type = 'add_to_cart' THEN 1 ELSE 0 END) c,
-        max(CASE WHEN event_type = 'checkout' THEN 1 ELSE 0 END) k FROM {clicks} GROUP BY session_id, device) s GROUP BY device""",
-    "alert_revenue_drop": """WITH d AS (SELECT order_date, CAST(sum(net) AS DOUBLE) revenue FROM {fact} WHERE is_revenue GROUP BY order_date), t AS (SELECT max(order_date) today FROM d)
-        SELECT today, round((SELECT max(revenue) FROM d WHERE order_date = (SELECT today FROM t)), 2) latest, round(avg(CASE WHEN order_date < today AND order_date >= today - INTERVAL 7 DAYS THEN revenue END), 2) usual FROM d CROSS JOIN t GROUP BY today""",
-    "alert_cancelled_share": "SELECT round(100 * CAST(count(*) FILTER (WHERE NOT is_revenue) AS DOUBLE) / count(*), 4) share FROM {fact}",
-    "anti_orphans": "SELECT count(*) orphans FROM {items} i WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.order_id = i.order_id)",
-    "not_in_anti": "SELECT customer_id FROM {customers} WHERE customer_id NOT IN (SELECT customer_id FROM {orders} WHERE customer_id IS NOT NULL)",
-    "exists_semi": "SELECT customer_id FROM {customers} c WHERE EXISTS (SELECT 1 FROM {fact} f WHERE f.customer_id = c.customer_id AND f.net > 1000)",
-    "share_of_total": "SELECT segment, count(*) n, round(CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) share FROM {customers} GROUP BY segment",
-    "except_all": "SELECT customer_id FROM {orders} EXCEPT ALL SELECT customer_id FROM {orders} WHERE is_revenue",
-    "union_all": "SELECT customer_id, 'order' kind FROM {orders} UNION ALL SELECT customer_id, 'click' kind FROM {clicks}",
-    "range_price_join": """SELECT p.valid_from, count(*) n, CAST(sum(f.quantity) AS BIGINT) units FROM {fact} f JOIN (SELECT 'paid' status, DATE '1995-01-01' valid_from, DATE '1998-01-01' valid_to
-        UNION ALL SELECT 'paid', DATE '1998-01-01', CAST(NULL AS DATE)) p ON f.status = p.status AND f.order_date >= p.valid_from AND (p.valid_to IS NULL OR f.order_date < p.valid_to) GROUP BY p.valid_from""",
-    "calendar_gaps": "SELECT count(*) day_count, min(order_date) first_day, max(order_date) last_day FROM (SELECT DISTINCT order_date FROM {orders}) d",
-    "masked_customers": "SELECT customer_id, concat(left(full_name, 1), '***') name, concat('***@', split_part(email, '@', 2)) email FROM {customers}",
-    "email_validity": "SELECT count(*) n, count(*) FILTER (WHERE email LIKE '%_@_%._%') valid FROM {customers}",
-    "batch_windows_5min": """SELECT to_timestamp_ntz_5 window_start, device, count(*) events, count(DISTINCT session_id) sessions, CAST(sum(CASE WHEN is_conversion THEN 1 ELSE 0 END) AS BIGINT) checkouts
-        FROM (SELECT *, date_trunc('minute', event_ts) - INTERVAL 1 MINUTE * (minute(event_ts) % 5) to_timestamp_ntz_5 FROM {clicks}) w GROUP BY to_timestamp_ntz_5, device""",
-    "churn_labels": """WITH t AS (SELECT max(order_date) - INTERVAL 30 DAYS cut FROM {fact}) SELECT customer_id, CASE WHEN max(order_date) > max(cut) THEN 0 ELSE 1 END churned FROM {fact} CROSS JOIN t WHERE is_revenue GROUP BY customer_id""",
-    "scd2_history": """SELECT customer_id, channel, order_ts valid_from, lead(order_ts) OVER (PARTITION BY customer_id ORDER BY order_ts, order_id) valid_to FROM (
-        SELECT *, lag(channel) OVER (PARTITION BY customer_id ORDER BY order_ts, order_id) was FROM {orders}) q WHERE was IS NULL OR was <> channel""",
-    "surrogate_keys": "SELECT customer_id, {sha}(customer_id) customer_sk FROM {customers}",
-    "dq_metrics_clicks": """SELECT rule, rows_failed, rows_total FROM (SELECT count(*) rows_total, count(*) FILTER (WHERE event_type = 'other') f FROM {clicks}) q CROSS JOIN (SELECT 'events_type_known' rule) r
-        CROSS JOIN LATERAL (SELECT f AS rows_failed) l""",
+
+# ---- cleaning
+
+QUERIES |= {
+    "clean_orders": lambda m: m.orders,
+    "clean_items": lambda m: m.items.select("item_id", "order_id", "product_id", "quantity", "unit_price", "discount_pct", "line_amount"),
+    "clean_customers": lambda m: m.feed,
+    "clean_products": lambda m: m.products,
+    "clean_clicks": lambda m: m.clicks,
+    "masked_customers": lambda m: m.customers.select("customer_id", mask_name("full_name").alias("name"), mask_email("email").alias("email")),
+    "surrogate_keys": lambda m: m.customers.select("customer_id", surrogate_key("customer_id").alias("customer_sk")),
+    "row_hashes": lambda m: m.feed.select("customer_id", "updated_at", row_hash(TRACKED).alias("row_hash")),
+    "email_validity": lambda m: m.customers.groupBy("is_email_valid").agg(F.count("*").alias("customers")),
+    "latest_item_of_product": lambda m: cleaning.keep_latest(m.items.select("product_id", "item_id", "quantity"), ["product_id"], [F.desc("quantity"), F.asc("item_id")]),
+    "star_except": lambda m: m.spark.sql("SELECT * EXCEPT (currency, order_ts) FROM {o} WHERE is_revenue", o=m.orders),
 }
 
 
-def _spark_twin(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: spark.sql(TWINS[name], **{k: v for k, v in frames(spark, d).items() if "{" + k + "}" in TWINS[name]})
+# ---- quality
+
+
+def _profiled(dataset: str, of: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
+    return lambda m: quality.profile(of(m), dataset, NOW).select("rule", "severity", "rows_total", "rows_failed", "failure_rate", "passed")
+
+
+def _rejected(dataset: str, key: str, of: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
+    return lambda m: quality.quarantine(of(m), dataset, NOW)[1].select(key, F.explode("failed_rules").alias("rule"))
 
 
-def scd2_history(spark: SparkSession, d: str) -> DataFrame:
-    feed = frames(spark, d)["orders"].select("customer_id", "channel", "order_ts", "order_id")
-    return core.scd2(feed, "customer_id", ["order_ts", "order_id"], ["channel"]).select("customer_id", "channel", "valid_from", "valid_to")
+def runs(m: Model) -> DataFrame:
+    """Profiles of two runs: over the orders of odd numbers before 1998, then over all."""
+    odd = m.orders.where((F.col("order_id").cast("bigint") % 2 == 1) & (F.col("order_date") < "1998-01-01"))
+    one = quality.profile(odd, "orders", NOW, "r1", datetime(2001, 6, 30, 3, 30))
+    return one.unionByName(quality.profile(m.orders, "orders", NOW, "r2", datetime(2001, 7, 1, 3, 30))).where("rows_failed IS NOT NULL")
 
 
-def surrogate_keys(spark: SparkSession, d: str) -> DataFrame:
-    return customers(spark, d).select("customer_id", core.surrogate_key("customer_id").alias("customer_sk"))
+QUERIES |= {f"dq_profile_{n}": _profiled(n, f) for n, f in {"orders": lambda m: m.orders, "items": lambda m: m.items, "customers": lambda m: m.feed, "clicks": lambda m: m.clicks}.items()}
+QUERIES |= {
+    "dq_metrics_clicks": lambda m: quality.profile(m.clicks, "clicks").select("rule", "rows_failed", "rows_total"),
+    "dq_quarantine_orders": _rejected("orders", "order_id", lambda m: m.orders),
+    "dq_quarantine_items": _rejected("items", "item_id", lambda m: m.items),
+    "dq_quarantine_clicks": _rejected("clicks", "event_id", lambda m: m.clicks),
+    "dq_valid_orders": lambda m: quality.quarantine(m.orders, "orders", NOW)[0].select("order_id", "order_ts", "status"),
+    "dq_reasons": lambda m: quality.breakdown(quality.quarantine(m.orders, "orders", NOW)[1].select("failed_rules").unionByName(quality.quarantine(m.clicks, "clicks", NOW)[1].select("failed_rules"))),
+    "dq_trend": lambda m: quality.trend(runs(m)),
+    "dq_latest_blocking": lambda m: quality.latest_blocking(runs(m)),
+    "alert_hours_since": lambda m: quality.hours_since(runs(m), datetime(2001, 7, 2, 12, 15)),
+    "mart_checks": lambda m: quality.mart_checks(m.fact, m.orders, m.daily, marts.calendar(m.spark, date(1995, 1, 1), date(2001, 12, 31)), m.scores, m.customers),
+}
+
+# ---- dimensions, fact, marts
+
+QUERIES |= {
+    "dim_date": lambda m: marts.calendar(m.spark, date(1995, 1, 1), date(2001, 12, 31)),
+    "dim_customer": lambda m: marts.dim_customer(m.customers, TODAY),
+    "dim_product": lambda m: marts.dim_product(m.products),
+    "fact_items": lambda m: m.fact,
+    "daily_sales": lambda m: marts.with_week_average(m.daily),
+    "rfm": lambda m: m.scores,
+    "rfm_segments": lambda m: marts.rfm_segments(m.scores),
+    "top_products": lambda m: marts.top_products(m.fact),
+    "sessions": lambda m: marts.sessions(m.clicks),
+    "customer_360": lambda m: marts.customer_360(m.customers, m.sold, m.clicks, TODAY),
+    "revenue_by_day": lambda m: marts.revenue_by_day(m.sold),
+    "revenue_overview": lambda m: reports.revenue_overview(m.daily, date(1996, 1, 1), date(1998, 12, 31)),
+    "revenue_overview_channel": lambda m: reports.revenue_overview(m.daily, date(1996, 1, 1), date(1996, 6, 30), "1-urgent"),
+    "cohort_retention": lambda m: marts.cohort_retention(m.sold),
+    "funnel": lambda m: marts.funnel(m.clicks, date(2024, 1, 5), date(2024, 1, 25)),
+    "alert_revenue_drop": lambda m: marts.revenue_change(m.daily),
+    "alert_cancelled_share": lambda m: marts.cancelled_share(m.sold, date(2001, 7, 20)),
+}
 
+# ---- joins, sets, windows
+
+@query
+def calendar_gaps(m: Model) -> DataFrame:
+    days = m.orders.where("is_revenue").select("order_date").distinct()
+    return marts.calendar(m.spark, date(1995, 1, 1), date(2001, 12, 31)).join(days, F.col("date") == F.col("order_date"), "left_anti").select("date")
+
+
+@query
+def range_price_join(m: Model) -> DataFrame:
+    prices = m.spark.createDataFrame([("paid", date(1995, 1, 1), date(1998, 1, 1)), ("paid", date(1998, 1, 1), None)], "sku string, valid_from date, valid_to date")
+    valid = (F.col("status") == F.col("sku")) & (F.col("order_date") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("order_date") < F.col("valid_to")))
+    return m.sold.join(F.broadcast(prices), valid).groupBy("valid_from").agg(F.count("*").alias("n"), F.sum("quantity").cast("bigint").alias("units"))
+
+
+@query
+def self_rank_join(m: Model) -> DataFrame:
+    """Each customer's latest order beside the one before."""
+    w = Window.partitionBy("customer_id").orderBy(F.desc("order_ts"), F.desc("order_id"))
+    both = m.orders.select("customer_id", "order_id", "status", F.row_number().over(w).alias("rn"), F.lead("order_id").over(w).alias("before_id"), F.lead("status").over(w).alias("before_status"))
+    return both.where("rn = 1 AND before_id IS NOT NULL").drop("rn")
+
+
+@query
+def multi_version_customers(m: Model) -> DataFrame:
+    several = m.feed.groupBy("customer_id").agg(F.count("*").alias("n")).where("n > 1")
+    return m.feed.join(several, "customer_id", "left_semi").select("customer_id", "city", "updated_at")
+
+
+QUERIES |= {
+    "anti_orphans": lambda m: m.items.join(m.orders, "order_id", "left_anti").agg(F.count("*").alias("orphans")),
+    "not_in_anti": lambda m: m.customers.join(m.orders.where("customer_id IS NOT NULL"), "customer_id", "left_anti").select("customer_id"),
+    "exists_semi": lambda m: m.customers.join(m.sold.where("net > 1000"), "customer_id", "left_semi").select("customer_id"),
+    "share_of_total": lambda m: m.customers.groupBy("segment").agg(F.count("*").alias("n"), F.round(F.count("*") / F.sum(F.count("*")).over(Window.partitionBy()), 6).alias("share")),
+    "except_all": lambda m: m.orders.select("customer_id").exceptAll(m.orders.where("is_revenue").select("customer_id")),
+    "union_all": lambda m: m.orders.select("customer_id", F.lit("order").alias("kind")).unionByName(m.clicks.select("customer_id", F.lit("click").alias("kind"))),
+    "distinct_activity": lambda m: m.orders.select("customer_id", F.trunc("order_date", "month").alias("m")).distinct(),
+    "channel_filter": lambda m: m.orders.where(all_or("channel", "5-low") & all_or("currency", "all")).select("order_id", "channel"),
+    "latest_day_orders": lambda m: m.spark.sql("SELECT order_id, order_date FROM {o} WHERE order_date = (SELECT max(order_date) FROM {o})", o=m.orders),
+    "avg_duration": lambda m: marts.sessions(m.clicks).groupBy("device").agg(F.round(F.avg("duration_s"), 4).alias("avg_s"), F.max("duration_s").alias("max_s")),
+    "top_spenders": lambda m: marts.customer_revenue(m.sold).orderBy(F.desc("monetary"), "customer_id").limit(25).select("customer_id", "monetary"),
+    "busy_customers": lambda m: m.orders.groupBy("customer_id").agg(F.count("*").alias("orders_cnt")).where("orders_cnt > 15"),
+    "windows_5min_exact": lambda m: windows.windowed(m.clicks, exact=True).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "device", "events", "sessions", "products", "carts", "checkouts", "conversion_rate"),
+}
+
+# ---- history and merge
 
-def dq_metrics_clicks(spark: SparkSession, d: str) -> DataFrame:
-    return core.profile(frames(spark, d)["clicks"], "clicks").where("rule = 'events_type_known'").select("rule", "rows_failed", "rows_total")
+CHANNELS = ["channel"]
 
 
-def masked_customers(spark: SparkSession, d: str) -> DataFrame:
-    return customers(spark, d).select("customer_id", F.concat(F.left("full_name", F.lit(1)), F.lit("***")).alias("name"), F.concat(F.lit("***@"), F.split_part("email", F.lit("@"), F.lit(2))).alias("email"))
+@query
+def scd2_history(m: Model) -> DataFrame:
+    feed = m.orders.select("customer_id", "channel", "order_ts", "order_id")
+    return history.scd2(feed, "customer_id", ["order_ts", "order_id"], CHANNELS).select("customer_id", "channel", "valid_from", "valid_to")
 
 
-def batch_windows(spark: SparkSession, d: str) -> DataFrame:
-    w = F.window(F.col("event_ts").cast("timestamp"), "5 minutes")
-    return frames(spark, d)["clicks"].groupBy(w.alias("w"), "device").agg(
-        F.count("*").alias("events"), F.countDistinct("session_id").alias("sessions"), F.sum(F.col("is_conversion").cast("bigint")).alias("checkouts")
-    ).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "device", "events", "sessions", "checkouts")
+def _batches(m: Model) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An empty history, the feed's first versions, and its later ones with late repeats of some first ones."""
+    none = m.customer_history.where("false")
+    late = F.startswith("city", F.lit("Town"))
+    again = m.feed.where(~late & (F.col("customer_id").cast("bigint") % 6 == 0))
+    return none, m.feed.where(~late), m.feed.where(late).unionByName(again)
 
 
-def dq_quarantine_clicks(spark: SparkSession, d: str) -> DataFrame:
-    bad = core.quarantine(frames(spark, d)["clicks"], "clicks")[1]
-    return bad.select("event_id", F.explode("failed_rules").alias("rule"))
+def _merged(m: Model, times: int = 1) -> DataFrame:
+    out, one, two = _batches(m)
+    for batch in [one, two] * times:
+        out = history.merge_scd2(out, batch, "customer_id", "updated_at", TRACKED)
+    return out.select("customer_id", "city", "valid_from", "valid_to", "is_current")
 
 
-def _profiled(dataset: str) -> Callable[[SparkSession, str], DataFrame]:
-    cols = ["rule", "severity", "rows_total", "rows_failed", "failure_rate", "passed"]
-    return lambda spark, d: core.profile(frames(spark, d)[dataset], dataset, NOW).select(*cols)
+QUERIES |= {
+    "scd2_rebuilt": lambda m: m.customer_history.select("customer_id", "city", "valid_from", "valid_to", "is_current"),
+    "scd2_two_batches": _merged,
+    "scd2_idempotent": lambda m: _merged(m, 2),
+    "scd2_audit": lambda m: history.audit(m.customer_history, "customer_id"),
+    "scd2_invariant": lambda m: history.not_one_current(m.customer_history, "customer_id"),
+    "scd1_current": lambda m: history.scd1(m.feed, ["customer_id"], ["updated_at"]).select("customer_id", "city", "updated_at"),
+    "current_customers": lambda m: m.customers.select(*CUSTOMER, "valid_from"),
+}
 
 
-def _rejected(dataset: str, key: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: core.quarantine(frames(spark, d)[dataset], dataset, NOW)[1].select(key, F.explode("failed_rules").alias("rule"))
+def _halves(m: Model) -> tuple[DataFrame, DataFrame]:
+    o, num = m.orders.select("order_id", "status"), F.col("order_id").cast("bigint")
+    return o.where(num % 5 != 0), o.where(num % 7 != 0).withColumn("status", F.when(num % 3 == 0, "returned").otherwise(F.col("status")))
 
 
-def _profile_sql(frame: str, rules: list[tuple[str, str, str | None]]) -> str:
-    """The twin of a profile: rule, severity and the condition that must be true; None: the tables lack what it needs."""
-    failed = lambda c: f"count(*) FILTER (WHERE NOT coalesce({c}, false))" if c else "NULL::BIGINT"
-    each = " UNION ALL ".join(f"SELECT '{r}' rule, '{s}' severity, count(*) rows_total, {failed(c)} rows_failed FROM {frame}" for r, s, c in rules)
-    return f"SELECT *, CASE WHEN rows_failed IS NULL THEN NULL WHEN rows_total = 0 THEN 0.0::DOUBLE ELSE rows_failed::DOUBLE / rows_total END failure_rate, rows_failed = 0 passed FROM ({each})"
+@query
+def change_feed(m: Model) -> DataFrame:
+    old, new = _halves(m)
+    return merge.changes(old, new, "order_id", ["status"])
 
 
-def change_feed(spark: SparkSession, d: str) -> DataFrame:
-    o = frames(spark, d)["orders"].select("order_id", "status")
-    num = F.col("order_id").cast("bigint")
-    return core.changes(o.where(num % 5 != 0), o.where(num % 7 != 0).withColumn("status", F.when(num % 3 == 0, "returned").otherwise(F.col("status"))), "order_id", ["status"])
+@query
+def merge_upsert(m: Model) -> DataFrame:
+    """Update where the status differs, insert, and mark what the source lacks as deleted."""
+    old, new = _halves(m)
+    clauses = [
+        merge.Clause("matched", "update", "s.status <> t.status", {"status": "s.status", "is_deleted": "false"}),
+        merge.Clause("not_matched", "insert", "true", {"order_id": "s.order_id", "status": "s.status", "is_deleted": "false"}),
+        merge.Clause("not_matched_by_source", "update", "true", {"is_deleted": "true"}),
+    ]
+    return merge.merge(old.withColumn("is_deleted", F.lit(False)), new, ["order_id"], clauses)
 
 
-def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
-    o = frames(spark, d)["orders"].select("order_id", "status")
-    num = F.col("order_id").cast("bigint")
-    return core.merge(o.where(num % 5 != 0), o.where(num % 7 != 0).withColumn("status", F.lit("returned")), "order_id", ["status"])
+@query
+def merge_insert_only(m: Model) -> DataFrame:
+    old, new = _halves(m)
+    return merge.merge(old, new, ["order_id"], merge.INSERT_ONLY)
 
 
-OWN = {f.__name__: f for f in (scd2_history, surrogate_keys, dq_metrics_clicks, masked_customers, dq_quarantine_clicks, change_feed, merge_upsert)} | {"batch_windows_5min": batch_windows}
-OWN |= {f"dq_profile_{x}": _profiled(x) for x in ("orders", "items", "customers", "clicks")}
-OWN |= {"dq_quarantine_orders": _rejected("orders", "order_id"), "dq_quarantine_items": _rejected("items", "item_id")}
-OWN_SQL = {
-    "dq_profile_orders": _profile_sql("orders_c", [
-        ("orders_id_not_null", "fail", "order_id IS NOT NULL AND length(order_id) > 0"), ("orders_customer_known", "drop", "customer_id IS NOT NULL"), ("orders_ts_not_null", "drop", "order_ts IS NOT NULL"),
-        ("orders_ts_not_in_future", "drop", "order_ts <= TIMESTAMP '2001-07-02'"), ("orders_status_known", "warn", "status <> 'unknown'"), ("orders_discount_range", "warn", None)]),
-    "dq_profile_items": _profile_sql("items_c", [
-        ("items_quantity_positive", "drop", "quantity > 0"), ("items_price_positive", "drop", "unit_price > 0"), ("items_order_ref", "fail", "order_id IS NOT NULL"),
-        ("items_amount_consistent", "warn", "abs(line_amount - quantity * unit_price) < 0.01")]),
-    "dq_profile_customers": _profile_sql("customers_c", [
-        ("customers_id_not_null", "fail", "customer_id IS NOT NULL"), ("customers_email_valid", "warn", r"regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$')"), ("customers_signup_past", "warn", None)]),
-    "dq_profile_clicks": _profile_sql("clicks_c", [
-        ("events_id_not_null", "fail", "event_id IS NOT NULL"), ("events_ts_not_null", "drop", "event_ts IS NOT NULL"), ("events_type_known", "drop", "event_type <> 'other'")]),
-    "dq_quarantine_orders": """SELECT order_id, 'orders_id_not_null' rule FROM orders_c WHERE coalesce(order_id, '') = '' UNION ALL SELECT order_id, 'orders_customer_known' FROM orders_c WHERE customer_id IS NULL
-        UNION ALL SELECT order_id, 'orders_ts_not_null' FROM orders_c WHERE order_ts IS NULL UNION ALL SELECT order_id, 'orders_ts_not_in_future' FROM orders_c WHERE NOT coalesce(order_ts <= TIMESTAMP '2001-07-02', false)""",
-    "dq_quarantine_items": """SELECT item_id, 'items_quantity_positive' rule FROM items_c WHERE NOT coalesce(quantity > 0, false) UNION ALL SELECT item_id, 'items_price_positive' FROM items_c WHERE NOT coalesce(unit_price > 0, false)
-        UNION ALL SELECT item_id, 'items_order_ref' FROM items_c WHERE order_id IS NULL""",
-    "dq_quarantine_clicks": "SELECT event_id, 'events_type_known' rule FROM clicks_c WHERE event_type = 'other'",
-    "change_feed": """, a AS (SELECT order_id, status FROM orders_c WHERE order_id::BIGINT % 5 <> 0), b AS (SELECT order_id, CASE WHEN order_id::BIGINT % 3 = 0 THEN 'returned' ELSE status END status FROM orders_c WHERE order_id::BIGINT % 7 <> 0)
-        SELECT order_id, 'insert' change, status FROM b WHERE order_id NOT IN (SELECT order_id FROM a) UNION ALL SELECT order_id, 'delete', status FROM a WHERE order_id NOT IN (SELECT order_id FROM b)
-        UNION ALL SELECT order_id, 'update_preimage', a.status FROM a JOIN b USING (order_id) WHERE a.status <> b.status UNION ALL SELECT order_id, 'update_postimage', b.status FROM a JOIN b USING (order_id) WHERE a.status <> b.status""",
-    "merge_upsert": "SELECT order_id, CASE WHEN order_id::BIGINT % 7 <> 0 THEN 'returned' ELSE status END status, order_id::BIGINT % 7 = 0 is_deleted FROM orders_c WHERE order_id::BIGINT % 5 <> 0 OR order_id::BIGINT % 7 <> 0",
+@query
+def merge_delete(m: Model) -> DataFrame:
+    old, new = _halves(m)
+    return merge.merge(old, new, ["order_id"], [merge.Clause("matched", "delete", "s.status = 'returned'"), merge.Clause("not_matched", "insert", "s.status <> 'returned'")])
+
+
+def _table(m: Model) -> VersionedTable:
+    """Version 0: some orders; 1: merged with others; 2: a third less; 3: version 0 again."""
+    t, (old, new) = VersionedTable(m.spark, f"{scratch(m.spark)}/versioned-{uuid.uuid4().hex}"), _halves(m)
+    t.overwrite(old, datetime(2001, 1, 1))
+    t.merge(new, ["order_id"], datetime(2001, 1, 2))
+    t.overwrite(t.read().where("CAST(order_id AS BIGINT) % 3 <> 1"), datetime(2001, 1, 3))
+    t.restore(0, datetime(2001, 1, 4))
+    return t
+
+
+QUERIES |= {
+    "time_travel_diff": lambda m: (t := _table(m)).read(1).exceptAll(t.read(2)),
+    "restore_table": lambda m: _table(m).read(),
+    "table_changes": lambda m: _table(m).changes("order_id", 0, 2),
+    "table_history": lambda m: _table(m).history(),
 }
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: OWN.get(n) or _spark_twin(n) for n in TWINS} | OWN
+@query
+def clone_table(m: Model) -> DataFrame:
+    """A clone to which rows are added; the table itself keeps its own."""
+    t = _table(m)
+    other = t.clone(f"{t.root}-clone", datetime(2001, 1, 5), version=2)
+    other.append(m.spark.createDataFrame([("x1", "paid", "new")], "order_id string, status string, note string"), datetime(2001, 1, 6))
+    return other.read().withColumn("own", F.lit(t.read().count()))
+
+
+@query
+def rename_column(m: Model) -> DataFrame:
+    t = _table(m)
+    t.rename("status", "state", datetime(2001, 1, 5))
+    t.constrain("has_state", "state IS NOT NULL", datetime(2001, 1, 6))
+    t.cluster(["state"], datetime(2001, 1, 7))
+    t.compact(datetime(2001, 1, 8))
+    return t.read()
+
+
+# ---- ingest and streams
+
+
+def _landed(m: Model, clicks: DataFrame, kind: str = "json") -> str:
+    folder = f"{scratch(m.spark)}/landing-{uuid.uuid4().hex}"
+    out = clicks.withColumn("event_ts", F.col("event_ts").cast("string")).repartition(6).sortWithinPartitions("event_ts")
+    (out.write.option("header", True).csv if kind == "csv" else out.write.json)(folder)
+    return folder
 
 
-def oracle_sql() -> dict[str, str]:
-    names = {k: f"{k}_c" for k in ("orders", "items", "products", "clicks", "fact", "customers")}
-    out = {}
-    for n, text in ({n: t for n, t in TWINS.items() if n != "surrogate_keys"} | OWN_SQL).items():
-        body = text if n in OWN_SQL else text.format(**names)
-        out[n] = BASE.rstrip() + ("" if body.startswith(",") else "\n") + (body if not body.lstrip().upper().startswith("WITH ") else ", " + body.lstrip()[5:])
-    return out
+CLICKS = "event_id string, session_id string, customer_id string, event_ts timestamp, event_type string, product_id string, device string, event_date date, is_conversion boolean"
+
+
+def _streamed(m: Model, clicks: DataFrame | None = None) -> DataFrame:
+    return landing.stream(m.spark, _landed(m, m.clicks if clicks is None else clicks), CLICKS)
+
+
+@query
+def bronze_ingest(m: Model) -> DataFrame:
+    """Clicks ingested in two runs; the second has a new column and values that don't fit."""
+    root = f"{scratch(m.spark)}/bronze-{uuid.uuid4().hex}"
+    raw = src.raw_clicks(m.spark, m.d).select("event_id", F.col("event_id").cast("bigint").alias("n"), "event_type")
+    feed = landing.Feed(m.spark, f"{root}/in", f"{root}/table", now=F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    raw.where("n % 2 = 0").coalesce(2).write.mode("append").json(f"{root}/in")
+    feed.run()
+    odd = raw.where("n % 2 = 1").withColumns({"n": F.when(F.col("n") % 10 == 1, F.concat(F.lit("n"), "n")).otherwise(F.col("n").cast("string")), "channel": F.lit("app")})
+    odd.select("event_id", F.when(F.startswith("n", F.lit("n")), F.col("n")).alias("n"), "event_type", "channel").coalesce(1).write.mode("append").json(f"{root}/in")
+    feed.run()
+    feed.run()  # nothing is new
+    return feed.read().select("event_id", "n", "event_type", "channel", F.get_json_object("_rescued_data", "$.n").alias("rescued_n"))
+
+
+@query
+def stream_windows_5min(m: Model) -> DataFrame:
+    """The windows of a stream, upserted by window and device: as many events as the batch twin finds."""
+    root = f"{scratch(m.spark)}/windows-{uuid.uuid4().hex}"
+    sink = sinks.Upserts(m.spark, f"{root}/out", ["window_start", "device"])
+    sinks.upsert(windows.windowed(_streamed(m), late="60 days"), sink, f"{root}/checkpoint").awaitTermination()
+    return sink.read().select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "device", "events", "checkouts")
+
+
+@query
+def stream_upsert_restart(m: Model) -> DataFrame:
+    """The same in two runs of the query, with the second half of the files, and some files again, landed between."""
+    root = f"{scratch(m.spark)}/restart-{uuid.uuid4().hex}"
+    half, number = f"{root}/in", F.col("event_id").cast("bigint")
+    sink = sinks.Upserts(m.spark, f"{root}/out", ["window_start", "device"])
+    for part in (number % 2 == 0, (number % 2 == 1) | (number % 8 == 0)):
+        m.clicks.where(part).withColumn("event_ts", F.col("event_ts").cast("string")).coalesce(2).write.mode("append").json(half)
+        events = landing.stream(m.spark, half, CLICKS)
+        sinks.upsert(windows.windowed(events, late="60 days"), sink, f"{root}/checkpoint").awaitTermination()
+    return sink.read().select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "device", "events", "checkouts")
+
+
+@query
+def stream_enriched(m: Model) -> DataFrame:
+    """Stream joined with the products, to a table; events that come twice count once."""
+    root = f"{scratch(m.spark)}/enriched-{uuid.uuid4().hex}"
+    twice = m.clicks.unionByName(m.clicks.where("CAST(event_id AS BIGINT) % 10 = 0"))
+    rows = windows.enriched(windows.once(_streamed(m, twice), late="60 days"), m.products)
+    landing.to_table(rows.select("event_id", "product_id", "category", "brand"), f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return m.spark.read.parquet(f"{root}/table")
+
+
+# ---- declared flows and their event log
+
+
+def _flows(m: Model) -> flows.Flows:
+    f = flows.Flows(m.spark, f"{scratch(m.spark)}/flows-{uuid.uuid4().hex}")
+
+    @f.dataset("clicks_by_type", reads=("clicks_silver",))
+    def _(read):
+        return read("clicks_silver").groupBy("event_type").agg(F.count("*").alias("events"))
+
+    @f.dataset("clicks_silver", reads=("clicks",), expect={"has_product": "product_id <> '0'"}, drop=quality.expectations("clicks", "drop"), fail=quality.expectations("clicks", "fail"))
+    def _(read):
+        return read("clicks")
+
+    f.run({"clicks": m.clicks}, datetime(2024, 2, 1))
+    return f
+
+
+QUERIES |= {
+    "expectation_metrics": lambda m: flows.expectation_metrics(_flows(m).events()),
+    "flow_progress": lambda m: flows.flow_progress(_flows(m).events()),
+    "flow_result": lambda m: (f := _flows(m)).spark.read.parquet(f"{f.root}/clicks_by_type"),
+}
+
+
+# ---- governance
+
+
+def access(m: Model) -> DataFrame:
+    return m.spark.createDataFrame([("anna", "NATION_1"), ("anna", "NATION_2"), ("analysts", "NATION_3"), ("root", "*"), ("otto", "NATION_4")], "principal string, value string")
+
+
+@query
+def secured_rows(m: Model) -> DataFrame:
+    """What a user of one group sees: rows of the granted countries, names and addresses masked."""
+    p = policies.Policies()
+    p.set_filter("customers", "country")
+    p.set_mask("customers", "full_name", "mask_name")
+    p.set_mask("customers", "email", "mask_email")
+    return p.view("customers", m.customers.select("customer_id", "full_name", "email", "country"), access(m), "anna", ["analysts"])
+
+
+def _job_runs(m: Model) -> DataFrame:
+    o = src.read(m.spark, m.d, "orders")
+    key = F.col("o_orderkey")
+    took = F.make_dt_interval(secs=(key % 97 * 30).cast("decimal(18,6)"))
+    return o.select(F.concat(F.lit("job"), (key % 5).cast("string")).alias("job"), F.col("o_orderdate").alias("started"), (F.col("o_orderdate") + took).alias("ended"), F.when(key % 11 == 0, "failed").otherwise("success").alias("state"))
+
+
+@query
+def cost_per_job(m: Model) -> DataFrame:
+    i = src.read(m.spark, m.d, "lineitem")
+    usage = i.select(F.concat(F.lit("job"), (F.col("l_orderkey") % 5).cast("string")).alias("job"), F.col("l_returnflag").alias("sku"), F.col("l_shipdate").cast("date").alias("at"), F.col("l_quantity").cast("int").alias("quantity"))
+    prices = [("A", 0.5, date(1990, 1, 1), date(1997, 1, 1)), ("A", 0.75, date(1997, 1, 1), None), ("N", 1.25, date(1990, 1, 1), None), ("R", 0.1, date(1998, 1, 1), date(1999, 1, 1))]
+    p = m.spark.createDataFrame(prices, "sku string, price double, valid_from date, valid_to date").withColumn("price", F.col("price").cast("decimal(10,4)"))
+    return policies.cost_per_job(usage, p)
+
+
+@query
+def lineage_last_seen(m: Model) -> DataFrame:
+    o = src.read(m.spark, m.d, "orders")
+    events = o.select(F.col("o_orderpriority").alias("source"), F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderstatus")).alias("target"), F.col("o_orderdate").alias("at"))
+    return policies.lineage_last_seen(events)
+
+
+@query
+def undocumented_tables(m: Model) -> DataFrame:
+    n = src.read(m.spark, m.d, "nation")
+    return policies.undocumented(n.select(F.col("n_name").alias("table_name"), F.when(F.col("n_nationkey") % 3 == 0, " ").when(F.col("n_nationkey") % 3 == 1, "about").alias("comment")))
+
+
+QUERIES |= {
+    "job_sla": lambda m: policies.job_sla(_job_runs(m), 2400),
+    "heavy_queries": lambda m: policies.heavy(src.read(m.spark, m.d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("bytes"))),
+    "table_readers": lambda m: policies.readers(src.read(m.spark, m.d, "orders").select(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user"), F.when(F.col("o_orderstatus") == "F", "read").otherwise("write").alias("action"), F.col("o_orderpriority").alias("table_name"), F.col("o_orderdate").alias("at")), "1"),
+}
+
+# ---- churn
+
+QUERIES |= {
+    "churn_features": lambda m: m.features,
+    "churn_labels": lambda m: m.labels,
+    "class_balance": lambda m: churn.class_balance(m.labels),
+    "class_means": lambda m: churn.class_means(m.features, m.labels),
+    "risk_distribution": lambda m: churn.distribution(churn.rule_score(m.features)),
+    "save_list": lambda m: churn.save_list(churn.rule_score(m.features), m.scores),
+    "drift_summary": lambda m: churn.drift(churn.rule_score(m.features), "run1"),
+}
+
+
+@query
+def churn_scores(m: Model) -> DataFrame:
+    """Scores of a model that is trained here, with few and shallow trees."""
+    rows = m.features.join(m.labels, ["customer_id", "as_of_date"])
+    model, _, _ = churn.train(rows, None, NOW, iterations=10, depth=3)
+    return churn.score(model, 1, m.features, NOW)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: (lambda spark, d, f=f: f(Model(spark, d))) for n, f in QUERIES.items()}
+

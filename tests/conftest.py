@@ -1,9 +1,8 @@
 import pytest
-from pyspark.sql import SparkSession
+
+from quarry.settings import session
 
 
 @pytest.fixture(scope="session")
 def spark():
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    s.sparkContext.setLogLevel("OFF")
-    return s
+    return session()
