@@ -41,8 +41,11 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], clauses: list[C
         new = lambda x: F.col("s." + x) if not c.set and x in source.columns else old(x)
         return F.struct(*[(F.expr(c.set[x]) if x in c.set else new(x)).cast(kinds[x]).alias(x) for x in target.columns])
 
-    def decided(rows: DataFrame, when: str, otherwise) -> DataFrame:
-        out, empty = F.when(F.lit(False), otherwise), F.lit(None)
+    def decided(rows: DataFrame, when: str, otherwise, once: bool = False) -> DataFrame:
+        # the error names the target's key, so that Spark can't move it below the join, to source rows that match nothing
+        named = F.concat_ws(", ", *[F.col(f"_t{i}").cast("string") for i in range(len(keys))]) if once else F.lit("")
+        twice, empty = F.raise_error(F.concat(F.lit("a target row matches several source rows: "), named)), F.lit(None)
+        out = F.when(F.col("times") > 1, twice) if once else F.when(F.lit(False), otherwise)
         for c in clauses:
             if c.when == when:
                 out = out.when(F.coalesce(F.expr(c.if_), F.lit(False)), empty if c.do == "delete" else row(c))
@@ -52,11 +55,9 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], clauses: list[C
     for k in by:
         one = one.where(k.isNotNull())
     both = here.join(one, on, "left")
-    if any(c.when == "matched" for c in clauses):
-        twice = F.raise_error(F.lit("a target row matches several source rows")).cast("boolean")
-        both = both.where(F.when((F.col("times") > 1) & F.col("t").isNotNull(), twice).otherwise(F.lit(True)))
+    strict = any(c.when == "matched" for c in clauses)
     kept = F.col("t")
-    matched = decided(both.where("times IS NOT NULL"), "matched", kept)
+    matched = decided(both.where("times IS NOT NULL"), "matched", kept, strict)
     alone = decided(both.where("times IS NULL"), "not_matched_by_source", kept)
     fresh = whole.join(here, on, "left_anti")
     added = decided(fresh, "not_matched", F.lit(None))
