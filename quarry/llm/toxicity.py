@@ -1,7 +1,14 @@
-"""Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors."""
+"""Toxicity by weak supervision: voters that may abstain, a generative label model, and a linear classifier on its posteriors.
+
+Lexicon voters are a declared list of insults and word beginnings that labelled rows show to be toxic; each fires where a word
+begins with its entry, some only where several do. Pattern voters look at how many entries a text has and how dense they are;
+some of them vote for a clean text. The label model sees no label: over labelled and unlabelled texts alike it estimates by EM how often each voter fires
+in either class, and how voters that fire together depend on each other. A logistic regression on the posteriors is the score.
+"""
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,105 +16,228 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bucket, table, texts
-from quarry.llm.features import A, B, Words, hashes, words_of
+from quarry.llm.common import Shelf, bucket, frugal, table, texts
 from quarry.llm.quality import sample
 
-BITS = 20
-PER_CLASS = 2500
-VOTERS = 60
-
-
-def terms(text: str, memo: Words) -> np.ndarray:
-    """Distinct indices of words, their beginnings of 3 to 6 characters and pairs of words."""
-    words = [*dict.fromkeys(words_of(text))]
-    w = hashes(memo, words)
-    plain = [x.decode() for x in words]
-    starts = {f"{k}^{p[:k]}" for p in plain for k in (3, 4, 5, 6) if len(p) > k}
-    parts = [w * A, hashes(memo, [s.encode() for s in starts]) * B]
-    every = hashes(memo, words_of(text))
-    if every.size > 1:
-        parts.append((every[:-1] * A + every[1:]) * B)
-    return np.unique(np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int32)
-
-
-def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 20) -> np.ndarray:
-    """Posterior of label 1 for each row. votes: 1 where a voter fires. y: a first guess by labels, kept as a weak anchor.
-
-    EM estimates each voter's rates in either class; the class-conditional correlations between voters divide the
-    weight of those that say the same thing."""
-    post, weight = np.where(y > 0, 0.95, 0.05), np.ones(votes.shape[1])
+#: Labelled rows of each class, and rows without a label, that a model is fitted on at most; see quality.sample on their bytes.
+PER_CLASS, UNLABELLED = 2500, 4000
+#: Letters of the beginnings of words that may become entries; rows of label 1 that must have one, at least and as a part of all; how
+#: much oftener than others they must have it; the rows times the logarithm of that, at least; how often in one text is looked at.
+LETTERS, SUPPORT, SHARE, LIFT, GAIN, TIMES = range(3, 11), 4, 0.015, 8.0, 16.0, 3
+#: Least difference of the log odds with which a voter fires in its own class and in the other.
+EDGE = 2.0
+#: Words whose entries a task remembers.
+REMEMBERED = 150_000
+# Common insults of four languages, as beginnings of words.
+INSULTS = [
+    "abschaum", "asshole", "bastard", "clown", "connard", "crétin", "débile", "dépotoir", "disgusting", "dreckskerl", "escoria", "estúpid", "filth", "idiot", "imbécil", "imbecile", "inútil", "loser", "moron",
+    "ordure", "pathetic", "raclure", "scum", "stupid", "stupide", "trash", "trottel", "vollidiot", "worthless",
+]
+#: Pattern voters that vote for label 1, then those that vote for 0; the rest of the voters are entries, for label 1.
+PATTERNS = ["two entries", "three hits", "a hit in each hundred words", "no hit", "no hit in a hundred words", "a single hit in two hundred words"]
+CLEAN = 3
+
+
+def words_in(text: str) -> Counter:
+    import regex
+
+    return Counter(regex.findall(r"\p{L}+", text.lower()))
+
+
+class Entries(dict):
+    """The entries that each word begins with; remembers a bounded number of words."""
+
+    def __init__(self, entries: dict[str, int]) -> None:
+        self.place = {e: k for k, e in enumerate(entries)}
+        self.least = [*entries.values()]
+        self.sizes = sorted({len(e) for e in entries})
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = tuple(k for n in self.sizes if n <= len(word) and (k := self.place.get(word[:n])) is not None)
+        self[word] = found
+        return found
+
+    def seen(self, text: str) -> tuple[dict[int, int], int]:
+        """How often each entry occurs, counted from the time on from which it counts, and all words."""
+        hits, total = defaultdict(int), 0
+        for word, n in words_in(text).items():
+            total += n
+            if found := self[word]:
+                for k in found:
+                    hits[k] += n
+        return {k: n - self.least[k] + 1 for k, n in hits.items() if n >= self.least[k]}, total
+
+
+def patterns(kinds: int, hits: int, total: int) -> list[bool]:
+    return [kinds >= 2, hits >= 3, hits >= 1 and 100 * hits >= total, hits == 0, hits == 0 and total >= 100, hits == 1 and total >= 200]
+
+
+def lexicon(rows: list[tuple[dict[str, int], int]]) -> dict[str, int]:
+    """Entries, and how often one must occur in a text to count: the declared insults, and beginnings of words that rows of label 1 have LIFT times as often as others, once or some times in a
+    text. Those that tell most come first, and of two entries that begin alike one is taken, so a family of words is one entry.
+    rows: how often each word occurs, and the label."""
+    count: tuple[Counter, Counter] = (Counter(), Counter())
+    size = [0, 0]
+    for words, y in rows:
+        size[y] += 1
+        sums: Counter = Counter()
+        for w, times in words.items():
+            for n in LETTERS:
+                if n <= len(w):
+                    sums[w[:n]] += times
+        count[y].update((e, m) for e, times in sums.items() for m in range(1, min(times, TIMES) + 1))
+    found = dict.fromkeys(INSULTS, 1)
+    if min(size):
+        gain: dict[str, tuple[float, int]] = {}
+        for (e, m), n in count[1].items():
+            lift = (n / size[1]) / ((count[0][e, m] + 0.5) / size[0])
+            if n >= max(SUPPORT, SHARE * size[1]) and lift >= LIFT:
+                gain[e] = max(gain.get(e, (0.0, 0)), (n * float(np.log(lift)), -m))
+        for e in sorted((e for e in gain if gain[e][0] >= GAIN), key=lambda e: (-gain[e][0], len(e), e)):
+            if not any(x.startswith(e) or e.startswith(x) for x in found):
+                found[e] = -gain[e][1]
+    return dict(sorted(found.items()))
+
+
+def ballot(hits: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which voters fire on each row, without those that never do, and which vote for label 0. An entry votes as one that occurs, and as
+    one that does so 2 to TIMES times."""
+    looks = np.array([patterns(int(a), int(b), int(c)) for a, b, c in zip((hits > 0).sum(1), hits.sum(1), total, strict=True)], float)
+    votes = np.column_stack([looks, *(hits >= m for m in range(1, TIMES + 1))])
+    place, used = np.arange(votes.shape[1]), votes.any(0)
+    return votes[:, used].astype(float), ((place >= CLEAN) & (place < len(PATTERNS)))[used]
+
+
+def _log_fires(votes: np.ndarray, bias: np.ndarray, couple: np.ndarray) -> np.ndarray:
+    """For each row and class the logarithm of the voters' probability, each given the others."""
+    with_others = votes @ couple
+    out = []
+    for b in bias:
+        z = b + with_others
+        out.append((votes * z - np.logaddexp(0, z)).sum(1))
+    return np.stack(out, 1)
+
+
+def label_model(votes: np.ndarray, clean: np.ndarray, rounds: int = 25, steps: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of label 1 of each row, the log odds that a voter fires in class 0 and 1, and the couplings of voters.
+
+    votes: 1 where a voter fires, else it abstains; clean: voters for label 0. EM from the majority vote; a voter's chance to fire is
+    logistic in the class and in the other voters that fire, so couplings (symmetric, none with itself) take up what two
+    voters have in common beyond the class. No label is used."""
+    votes, of, times = np.unique(votes, axis=0, return_inverse=True, return_counts=True)  # rows that vote alike are one
+    n, m = int(times.sum()), votes.shape[1]
+    side = np.where(clean, -1.0, 1.0)
+    balance = votes @ side
+    post = np.clip(0.5 + 0.2 * balance, 0.02, 0.98)
+    share = np.clip(times[balance > 0].sum() / n, 0.01, 0.5)  # the classes' balance is that of the majority vote
+    bias, couple = np.zeros((2, m)), np.zeros((m, m))
     for _ in range(rounds):
-        prior = post.mean()
-        on = (post @ votes + 0.1) / (post.sum() + 1), ((1 - post) @ votes + 0.1) / ((1 - post).sum() + 1)
-        left = votes - np.outer(post, on[0]) - np.outer(1 - post, on[1])
-        scale = np.sqrt((left**2).sum(0)) + 1e-9
-        weight = 1 / np.maximum(1, np.clip((left.T @ left) / np.outer(scale, scale), 0, 1).sum(1))
-        z = np.log(prior / (1 - prior)) + votes @ (weight * np.log(on[0] / on[1])) + (1 - votes) @ (weight * np.log((1 - on[0]) / (1 - on[1])))
-        post = 1 / (1 + np.exp(-np.clip(z + np.where(y > 0, 2.0, -2.0), -30, 30)))
-    return post
+        for _ in range(steps):
+            with_others = votes @ couple
+            step = np.zeros((m, m))
+            for y, weight in enumerate((times * (1 - post), times * post)):
+                p = 1 / (1 + np.exp(-np.clip(bias[y] + with_others, -30, 30)))
+                left = weight[:, None] * (votes - p)
+                spread = (weight[:, None] * p * (1 - p)).sum(0) + 1.0
+                prior = np.where((side > 0) == (y == 1), -1.0, -4.0)  # a voter seldom fires in the other class
+                bias[y] += np.clip((left.sum(0) - (bias[y] - prior)) / spread, -1, 1)
+                step += left.T @ votes
+            # every voter is taken to be right more often than wrong: its log odds in its own class are EDGE higher
+            middle, gap = bias.mean(0), np.maximum(side * (bias[1] - bias[0]), EDGE) / 2
+            bias = np.stack([middle - side * gap, middle + side * gap])
+            step = (step + step.T) / 2 - 5.0 * couple
+            np.fill_diagonal(step, 0)
+            couple = np.clip(couple + step / (0.25 * n + 5.0), -4, 4)
+        each = _log_fires(votes, bias, couple)
+        post = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + each[:, 1] - each[:, 0], -30, 30)))
+    return post[of.reshape(-1)], bias, couple
+
+
+def inputs(hits: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """What the classifier sees: how often each entry occurs, how many do, and how dense they are."""
+    of = hits.sum(1)
+    return np.column_stack([np.log1p(hits), np.log1p((hits > 0).sum(1)), np.log1p(of), np.log1p(100 * of / np.maximum(total, 1))])
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Weights and a bias last, by Newton steps; y: posteriors."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w, keep = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, ridge), 1e-6)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (y - p) - keep * w
+        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(keep + 1e-6)
+        w = w + np.clip(np.linalg.solve(curve, slope), -3, 3)
+    return w
 
 
-def fit(labelled: DataFrame) -> np.ndarray:
-    """Weights per index and a bias last; without rows of both classes nothing but a bias that scores all 0."""
+def fit(labelled: DataFrame, others: DataFrame) -> tuple[dict[str, int], np.ndarray]:
+    """Entries, and the classifier's weights with a bias last. labelled: doc_id, text, y; others: doc_id, text, without labels. Both
+    bounded. Without texts nothing but a bias that scores all 0."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Words()
+    @frugal
+    def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "y": f["y"], "idx": [terms(t, memo).tobytes() for t in f["text"]]})
-
-    got = sorted(labelled.mapInPandas(run, "doc_id long, y int, idx binary").collect())
-    dims, y = 1 << BITS, np.array([r.y for r in got])
-    out = np.zeros(dims + 1)
-    out[-1] = -20.0
-    if not {0, 1} <= {*y.tolist()}:
-        return out
-    idx = [np.frombuffer(r.idx, np.int32) for r in got]
-    count = [np.zeros(dims), np.zeros(dims)]
-    for i, v in zip(idx, y, strict=True):
-        count[v][i] += 1
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
-    odds = np.log((count[1] + 0.2) / (n1 + 0.4)) - np.log((count[0] + 0.2) / (n0 + 0.4))
-    gain = odds * np.sqrt(count[1]) * (count[1] >= 3) * (count[1] / n1 > 6 * count[0] / n0)
-    lexicon = [k for k in np.argsort(-gain, kind="stable")[:4000] if gain[k] > 0]
-    if not lexicon:
-        return out
-    place = np.full(dims, -1)
-    place[lexicon] = np.arange(len(lexicon))
-    x = np.zeros((len(got), len(lexicon)), np.float32)
-    for r, i in enumerate(idx):
-        p = place[i]
-        x[r, p[p >= 0]] = 1
-    few = min(VOTERS, len(lexicon))
-    votes = np.concatenate([x[:, :few], (x.sum(1, keepdims=True) >= 1), (x.sum(1, keepdims=True) >= 3)], 1).astype(float)
-    post = label_model(votes, y)
-    w, bias, lr = np.zeros(len(lexicon)), -3.0, 0.5
-    for _ in range(300):  # logistic regression on the posteriors
-        p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
-        w -= lr * (x.T @ (p - post) / len(post) * 20 + 1e-4 * w)
-        bias -= lr * (p - post).mean()
-    out[lexicon], out[-1] = w, bias
-    return out
-
-
-def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """doc_id, score for every row; null and empty texts have the bias alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
+            each = [words_in(t) for t in f["text"]]
+            yield pd.DataFrame({"y": f["y"], "words": [[*w] for w in each], "times": [[*w.values()] for w in each]})
+
+    rows = labelled.mapInPandas(words, "y int, words array<string>, times array<int>").toLocalIterator()
+    entries = lexicon([(dict(zip(r.words, r.times, strict=True)), r.y) for r in rows])
 
+    @frugal
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Entries(entries)
+        for f in frames:
+            got = [known.seen(t) for t in f["text"]]
+            yield pd.DataFrame({"doc_id": f["doc_id"], "k": [[*h] for h, _ in got], "n": [[*h.values()] for h, _ in got], "total": [x[1] for x in got]})
+
+    every = labelled.select("doc_id", "text").unionByName(others.select("doc_id", "text"))
+    got = sorted(every.mapInPandas(counted, "doc_id long, k array<int>, n array<int>, total long").collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.total, r.k))
+    if not got:
+        return entries, np.append(np.zeros(len(entries) + 3), -20.0)
+    hits = np.zeros((len(got), len(entries)))
+    for i, r in enumerate(got):
+        hits[i, r.k] = r.n
+    total = np.array([r.total for r in got])
+    votes, clean = ballot(hits, total)
+    post, _, _ = label_model(votes, clean)
+    return entries, logistic(inputs(hits, total), post)
+
+
+def score(docs: DataFrame, model: tuple[dict[str, int], np.ndarray]) -> DataFrame:
+    """doc_id, score for every row; null and empty texts, and those without words, have the bias alone."""
+    shared = Shelf(docs.sparkSession).share(model)  # entries are bounded by the labelled rows
+
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, w = Words(), shared.value
+        entries, w = shared.value
+        known = Entries(entries)
         for f in frames:
-            z = np.array([float(w[terms(t, memo)].sum() if t else 0) + float(w[-1]) for t in f["text"]])
-            yield pd.DataFrame({"doc_id": f["doc_id"], "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
+            out = []
+            for t in f["text"]:
+                hits, total = known.seen(t)
+                of = sum(hits.values())
+                z = w[-1] + w[-4] * np.log1p(len(hits)) + w[-3] * np.log1p(of) + w[-2] * np.log1p(100 * of / max(total, 1))
+                z += sum(w[k] * np.log1p(n) for k, n in hits.items())
+                out.append(1 / (1 + np.exp(-min(max(z, -30), 30))))
+            yield pd.DataFrame({"doc_id": f["doc_id"], "score": out})
 
     return texts(docs).mapInPandas(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; labels of held-out rows are not read."""
+    """doc_id, held_out, score, predicted for every row of docs; labels of held-out rows are not read.
+
+    Null and empty texts score the bias; repeated rows score alike; a null doc_id counts as held out; without labels the declared insults
+    alone are entries; an empty table gives none; other columns are ignored."""
     known = labels.where("toxic in (0, 1)").where(bucket(4) != 2)
-    s = score(docs, fit(sample(docs, known, "toxic", PER_CLASS)))
-    return s.select("doc_id", (bucket(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    some = docs.where(bucket(4) != 2).select("doc_id").distinct().join(known.select("doc_id"), "doc_id", "left_anti")
+    pick = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED).withColumn("toxic", F.lit(0))
+    s = score(docs, fit(sample(docs, known, "toxic", PER_CLASS), sample(docs, pick, "toxic", UNLABELLED)))
+    out = F.coalesce(bucket(4) == 2, F.lit(True))
+    return s.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -273,6 +274,76 @@ def test_classifiers(spark, docs):
         assert len(rows(op.classify(docs, known.where("false")))) == len(TEXTS)
 
 
+def test_dual_descent_reaches_the_least_hinge_loss():
+    draws, n, dims = np.random.default_rng(4), 40, 6
+    idx = [np.sort(draws.choice(dims, 3, replace=False)) for _ in range(n)]
+    y = np.where([i[0] == 0 for i in idx], 1.0, -1.0) * np.where(draws.random(n) < 0.1, -1, 1)
+    ratio = draws.normal(size=dims)
+    unit = [(i, ratio[i] / np.linalg.norm(ratio[i])) for i in idx]
+    x = np.zeros((n, dims + 1))
+    for r, (i, v) in enumerate(unit):
+        x[r, i], x[r, -1] = v, 1
+    loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - y * (x @ w)).sum()
+    alpha, q = np.zeros(n), (y[:, None] * x) @ (y[:, None] * x).T
+    for _ in range(20_000):  # plain projected gradient on the dual
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, 1)
+    best = loss(x.T @ (alpha * y))
+    assert loss(quality.dual_descent(unit, y, dims, epochs=400)) == pytest.approx(best, rel=1e-3)
+
+
+def test_log_count_ratios_and_calibration():
+    idx = [np.array([0, 1], np.int32), np.array([1, 2], np.int32), np.array([2], np.int32)]
+    _, ratio = quality.trained(idx, np.array([1, 1, 0]), 4)
+    p, q = np.array([2, 3, 2, 1]), np.array([1, 1, 2, 1])
+    assert ratio == pytest.approx(np.log(p / p.sum()) - np.log(q / q.sum()))
+    slope, shift = quality.calibrated(np.zeros(10), np.array([0, 1] * 5))
+    assert 1 / (1 + np.exp(-shift)) == pytest.approx(0.5, abs=0.01) and slope >= 0
+
+
+def test_label_model_needs_no_label():
+    """Voters of known rates, of which three say the same thing: posteriors beat the majority, and the copies are coupled."""
+    draws, n = np.random.default_rng(6), 4000
+    y = draws.random(n) < 0.2
+    fire = lambda a, b: draws.random(n) < np.where(y, a, b)
+    copy = fire(0.3, 0.12)
+    votes = np.column_stack([fire(0.7, 0.02), fire(0.6, 0.03), fire(0.5, 0.02), copy, copy, copy, fire(0.1, 0.8), fire(0.1, 0.7)]).astype(float)
+    clean = np.array([False] * 6 + [True] * 2)
+    post, bias, couple = toxicity.label_model(votes, clean)
+    majority = votes @ np.where(clean, -1, 1) > 0
+    assert ((post > 0.5) == y).mean() > max(0.9, (majority == y).mean() + 0.01)
+    assert couple[3, 4] > 1 > abs(couple[0, 1]) and (couple == couple.T).all() and (bias[1, 0] - bias[0, 0]) > (bias[1, 3] - bias[0, 3])
+
+
+def test_lexicon_and_patterns():
+    rows_ = [({"good": 3, "day": 1}, 0)] * 40 + [({"zork": 2, "zorkan": 1, "day": 1}, 1)] * 10 + [({"zorkel": 1, "day": 2}, 0)] * 10
+    found = toxicity.lexicon(rows_)
+    assert found.pop("zor") == 2 and {*found} == {*toxicity.INSULTS}
+    known = toxicity.Entries({"zor": 2, "idiot": 1})
+    assert known.seen("Zork, zorkan! IDIOTS and day") == ({0: 1, 1: 1}, 5) and known.seen("zork") == ({}, 1) and known.seen("") == ({}, 0)
+    assert toxicity.patterns(0, 0, 300) == [False, False, False, True, True, False] and toxicity.patterns(2, 3, 50) == [True, True, True, False, False, False]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test data")
+def test_held_out_rows_are_judged_right(spark):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    labels = {r.doc_id: r for r in read("labels").collect()}
+    some = read("documents").join(read("labels").select("doc_id"), "doc_id", "left_semi")
+    for op, label, caught, alone in ((quality, "quality", 0.95, 0.8), (toxicity, "toxic", 0.9, 0.97)):
+        held = [(labels[r.doc_id][label], r.predicted) for r in op.classify(some, read("labels")).where("held_out").collect()]
+        rate = lambda v: sum(p == v for y, p in held if y == v) / sum(y == v for y, _ in held)  # noqa: E731, B023
+        assert rate(1) >= caught and rate(0) >= alone
+
+
+def test_classifiers_with_odd_rows(spark, empty):
+    known = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, "") for i in range(40)] + [(None, None), (3, "x" * 70_000), (3, "")], "doc_id long, text string")
+    for op in (quality, toxicity):
+        got = op.classify(docs, known).collect()
+        assert len(got) == 43 and all(0 <= r.score <= 1 for r in got) and [r.held_out for r in got if r.doc_id is None] == [True]
+        assert op.classify(empty, known).count() == 0
+    assert quality.classify(docs, known).where("doc_id = 1").first().score == pytest.approx(0.5, abs=0.1)
+
+
 def test_pitman_yor(docs, empty):
     import zlib
 
