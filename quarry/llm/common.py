@@ -61,6 +61,18 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return wrapped
 
 
+def frugal_group(run: Callable) -> Callable:
+    """run over the frame, or the two frames, of a group, after which its memory is given back. Spark asks for the number of arguments."""
+
+    def both(*frames):
+        try:
+            return run(*frames)
+        finally:
+            release()
+
+    return (lambda one, two: both(one, two)) if run.__code__.co_argcount == 2 else (lambda one: both(one))
+
+
 def remove(spark: SparkSession, place: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
