@@ -370,11 +370,18 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # differences of sketches add up: from a class to the smaller member that it links to, and on to the leader
     spread = leaders.join(crowded, "g", "left").select("g", F.when(F.col("many"), b).otherwise(a).alias("y"))
     to = pairs.join(spread, "g", "left").select("id", "g", F.coalesce(F.col("y") + 2 * a, F.lit(a)).alias("x"), F.coalesce("y", F.lit(a)).alias("y"))
-    abroad = shelf.put(_near(to, heads))
-    shelf.drop(grouped, near, crowded)
+    loose = shelf.put(_near(to, heads))
+    members = shelf.put(own.select("g", "id").union(leaders.select("g", F.col("g").alias("id"))).distinct())
+    # members of groups that aren't crowded are few: their own sketches tell more than the leader's
+    large = crowded.where("many").select("g")
+    few, of = loose.join(large, "g", "left_anti"), members.select("g", F.col("id").alias("m"))
+    each = few.join(of, "g").where("m <> id").select("id", F.col("m").alias("g"), F.lit(a).alias("x"), F.lit(a).alias("y")).distinct()
+    close = _near(each, heads).withColumnRenamed("g", "m").join(of, "m").select("id", "g").distinct().join(few, ["id", "g"], "left_semi")
+    abroad = shelf.put(close.unionByName(loose.join(large, "g", "left_semi")))
+    shelf.drop(grouped, near, crowded, loose)
     shelf.tidy()
 
-    inside = own.join(leaders.union(abroad.select("g")).distinct(), "g", "left_semi").select("g", "id").union(leaders.select("g", F.col("g").alias("id"))).distinct()
+    inside = members.join(leaders.union(abroad.select("g")).distinct(), "g", "left_semi")
     sets = _sets(shelf, docs, inside.select("id").union(abroad.select("id")).distinct(), k)
     shelf.tidy()
     groups = shelf.put(_groups(inside, sets))
@@ -385,7 +392,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     shelf.tidy()
     edges = labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
     links = shelf.put(edges.unionByName(_across(asked, groups, labels, sets, percent)))
-    shelf.drop(sets, groups, labels, asked, own, leaders, abroad)
+    shelf.drop(sets, groups, labels, asked, own, leaders, members, abroad)
     shelf.tidy()
     found = components(links, shelf).select(F.col("v").alias("id"), "c")
     shelf.drop(links)
