@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table
+from quarry.llm.common import frugal, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A comment, a declaration, or a tag whose quoted values may hold '>'; if a quote doesn't end, the tag ends at its first '>'.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)(?:((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)|([^>]*))>", re.S)
+ATTR = re.compile(r"([^\s=/>\"']+)\s*+(?:=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 # HTML element names by their part in a page.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -21,6 +24,8 @@ BLOCK = {"p", "div", "article", "section", "main", "body", "html", "ul", "ol", "
 CLOSES_P = BLOCK | {"nav", "header", "footer", "aside", "form", "fieldset"}
 BOILER = {"head", "nav", "header", "footer", "aside", "button", "select", "option", "dialog", "menu"}
 MARKS = {"nav", "navbar", "navigation", "menu", "header", "footer", "sidebar", "aside", "ad", "ads", "advert", "adverts", "advertisement", "banner", "cookie", "cookies", "consent", "notice", "notices", "notification", "alert", "promo", "sponsor", "sponsored", "comment", "comments", "disqus", "replies", "breadcrumb", "breadcrumbs", "share", "sharing", "social", "related", "newsletter", "subscribe", "popup", "modal", "search", "login", "contentinfo", "complementary", "masthead", "widget"}
+#: Words that may stand beside one of MARKS in a name, as in "comment-list".
+BESIDE = {"area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "container", "content", "form", "group", "home", "inner", "item", "items", "left", "link", "links", "list", "main", "message", "mobile", "outer", "overlay", "page", "panel", "popup", "post", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "sticky", "stories", "text", "top", "unit", "widget", "wrap", "wrapper"}
 HEAD = {"title", "meta", "link", "base", "style", "script", "noscript", "template"}
 #: Tags that end an open element of the first set, unless one of the second is in between.
 ENDS = {
@@ -45,50 +50,70 @@ class Node:
         self.tag, self.up, self.kids, self.score, self.chars, self.links, self.mark = tag, up, [], 0.0, 0, 0, False
 
 
+def marked(attributes: str) -> bool:
+    """Whether class, id or role names a part that is no main text: a name that is one of MARKS, or of such words and BESIDE alone."""
+    for name, value in ATTR.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            for each in value.strip("\"'").lower().split():
+                words = [w for w in re.split(r"[^a-z]+", each) if w]
+                if any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words):
+                    return True
+    return False
+
+
 def parse(html: str) -> Node:
     """A tree without the parts that never hold main text. Text is kept raw, as strings among kids.
 
     Dropped elements are read like others, so each ends where HTML ends it, with or without an end tag."""
     root = here = Node("html", None)
-    at, marked = 0, False
-    while (m := TOKEN.search(html, at)) is not None:
+    at, found, last = 0, False, html.rfind(">")
+    live = Counter()  # open elements by tag, so that no search for one that isn't open is made
+
+    def leave(to: Node) -> Node:
+        node = here
+        while node is not to:
+            live[node.tag] -= 1
+            node = node.up
+        return to
+
+    while (m := TOKEN.search(html, at) if at <= last or html.find("<!", at) >= 0 else None) is not None:
         text, at = html[at : m.start()], m.end()
-        tag, closing = (m[2] or "").lower(), bool(m[1])
+        tag, closing, rest = (m[2] or "").lower(), bool(m[1]), m[3] if m[3] is not None else m[4] or ""
         if here.tag == "head" and (text and not text.isspace() or tag and not closing and tag not in HEAD):
-            here = here.up
+            here = leave(here.up)
         if text:
             here.kids.append(text)
         if not tag:
             continue
         if not closing and tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
+            end = _raw_end(tag).search(html, at)
             at = len(html) if end is None else end.start()
             continue
         if closing:
-            node = here
-            while node is not None and node.tag != tag:
-                node = node.up
-            if node is not None and node.up is not None:
-                here = node.up
+            if live[tag]:
+                node = here
+                while node.tag != tag:
+                    node = node.up
+                if node.up is not None:
+                    here = leave(node.up)
             continue
         if tag in VOID:
             here.kids.append(Node(tag, here)) if tag == "hr" else here.kids.append(" ") if tag == "br" else None
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and live["p"]:
             node = here
             while node is not None and node.tag != "p" and node.tag not in BLOCK and node.tag not in BOILER:
                 node = node.up
             if node is not None and node.tag == "p":
-                here = node.up
-        if tag in ENDS:
+                here = leave(node.up)
+        if tag in ENDS and any(live[x] for x in ENDS[tag][0]):
             (ended, bounds), node = ENDS[tag], here
             while node is not None and node.tag not in ended and node.tag not in bounds and node.tag not in ("article", "main", "body"):
                 node = node.up
             if node is not None and node.tag in ended and node.up is not None:
-                here = node.up
-        marks = {w for a in ATTR.findall(m[3]) for w in re.split(r"[^a-z]+", "".join(a).lower())} if m[3] else ()
-        mark = tag == "form" or tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(marks)
-        if (tag in BOILER or mark) and m[3].rstrip().endswith("/"):
+                here = leave(node.up)
+        mark = tag == "form" or tag not in ("html", "body", "article", "main") and bool(rest) and marked(rest)
+        if (tag in BOILER or mark) and rest.rstrip().endswith("/"):
             continue
         node = Node(tag, here)
         if tag in BOILER:
@@ -96,16 +121,22 @@ def parse(html: str) -> Node:
         else:
             here.kids.append(node)
             node.mark = mark
-            marked |= mark
+            found |= mark
         here = node
+        live[tag] += 1
     if at < len(html):
         tail = html[at:]
         here.kids.append(tail if not re.match(r"<[a-zA-Z/!]", tail) else "")
-    if marked:
+    if found:
         _prune(root)
     return root
 
 
+@lru_cache(32)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}[\s/>]", re.I)
+
+
 def _prune(root: Node) -> None:
     """Drop forms and elements whose names say they are no main text, but not those around the article.
 
@@ -260,6 +291,7 @@ def _around(best: Node) -> list:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row. Null and empty html, and pages without main text, give an empty text."""
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             got = [main_text(h) for h in f["html"]]

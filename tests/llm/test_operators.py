@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -257,6 +258,25 @@ def test_html_marks_and_omitted_end_tags():
     assert html_text.main_text(f'{body}<div class="comments"><p>a, b</p></div><form><p>c</p></form>') == said
 
 
+def test_html_names_of_parts():
+    text = "<p>" + "words, and more, " * 8 + "</p>"
+    want = ("words, and more, " * 8).strip()
+    for kept in ('<section class="related-work">', '<div class="notice-period">', '<div data-id="share 5">', '<div class="has-sidebar">', "<div id=page class='header-fixed'>", '<div title="class=ad">'):
+        end = "</section>" if "section" in kept else "</div>"
+        assert html_text.main_text(f"<article>{text}{kept}<p>own, words</p>{end}</article>") == f"{want}\nown, words", kept
+    for gone in ('<div class="comment-list">', "<div class=ad-slot>", '<section id="related-posts">', '<div class="x cookie-banner">', "<div ROLE='complementary'>"):
+        end = "</section>" if "section" in gone else "</div>"
+        assert html_text.main_text(f"<article>{text}{gone}<p>own, words</p>{end}</article>") == want, gone
+    assert html_text.main_text(f'<article>{text}<p class="x>two</p><p>three</p></article>') == f"{want}\ntwo\nthree"
+
+
+@pytest.mark.parametrize("page", ["<a " * 400_000, "<div>" * 60_000 + "</b>" * 60_000, "<b>" * 60_000 + "<td></td>" * 60_000, "<a x='" * 200_000 + ">", "<p>a, b</p>" * 100_000, "<!--" * 200_000, "<" * 500_000])
+def test_html_takes_time_in_proportion(page):
+    began = time.monotonic()
+    html_text.main_text(page)
+    assert time.monotonic() - began < 12
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, None), (2, "u", "<p>ab</p>")], "page_id long, url string, html string")
     assert {(r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()} == {(1, "", 0), (2, "ab", 2)}
