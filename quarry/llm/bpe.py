@@ -12,10 +12,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import table, texts
+from quarry.llm.common import frugal, table, texts
 
 #: Pre-tokens whose ids a task remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
+#: Bytes of ids that a task holds before it hands them on.
+HELD = 8 << 20
 
 
 class PerfectHash:
@@ -125,12 +127,23 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Null counts as empty: no ids. Texts of any length are encoded whole; repeated rows are encoded each."""
 
+    columns = ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code, split = codec(path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for f in frames:
-            ids = [code.encode(t, split) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "ids_sha256": [*map(sha, ids)], "decoded_sha256": [sha(code.decode(x)) for x in ids]})
+            rows, size = [], 0
+            for d, t in zip(f["doc_id"], f["text"], strict=True):
+                ids = code.encode(t, split)
+                rows.append((d, len(ids) // 4, ids, sha(ids), sha(code.decode(ids))))
+                size += len(ids)
+                if size > HELD:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return texts(docs).mapInPandas(run, "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
 
