@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table, texts
+from quarry.llm.common import frugal, table, texts
 
 Q, ERRORS = 8, 0.1
 #: Bytes of benchmark text that a task holds at once; a larger benchmark is searched in blocks of this size.
@@ -106,6 +106,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         index = Index(sorted((r.doc_id, normal(r.text)) for r in items.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k).collect()))
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
+        @frugal
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for f in frames:
                 got = [(d, *m) for d, t in zip(f["doc_id"], f["text"], strict=True) for m in shared.value.find(t)]
