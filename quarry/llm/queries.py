@@ -9,4 +9,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.SQL}
+    return {"op2_sharding": sharding.sql(), "op4_exact_dedup": exact_dedup.SQL}

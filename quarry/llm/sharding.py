@@ -47,3 +47,26 @@ def place(df: DataFrame, key: Column, shards: list[str], slots: int = SLOTS) ->
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return place(docs, F.col("doc_id"), [f"shard-{k:03d}" for k in range(SHARDS)]).select("doc_id", "slot", "shard")
+
+
+def _plain(shards: int, slots: int) -> list[int]:
+    """The lookup table, told plainly for the SQL: each shard's whole preference order, walked in turns."""
+    orders = []
+    for k in range(shards):
+        n = int(md5(f"shard-{k:03d}".encode()).hexdigest(), 16)
+        first, step = (n >> 64) % slots, (n & (2**64 - 1)) % (slots - 1) + 1
+        orders.append([(first + i * step) % slots for i in range(slots)])
+    table, at, k = {}, [0] * shards, 0
+    while len(table) < slots:
+        while orders[k][at[k]] in table:
+            at[k] += 1
+        table[orders[k][at[k]]] = k
+        k = (k + 1) % shards
+    return [table[s] for s in range(slots)]
+
+
+def sql() -> str:
+    return f"""
+SELECT doc_id, slot, 'shard-' || lpad(([{", ".join(map(str, _plain(SHARDS, SLOTS)))}])[slot + 1]::VARCHAR, 3, '0') AS shard
+FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT % {SLOTS} AS slot FROM documents)
+"""

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import time
 from collections import Counter
 from pathlib import Path
@@ -86,6 +87,41 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def plain_scan(text, templates, dice):
+    """Every window of words, tried."""
+    cut = lambda t: re.findall(r"[^\W_]+", t.lower())
+    pairs_of = lambda w: [*zip(w, w[1:])]
+    found, b = [], pairs_of(cut(text))
+    lines = [k for k, line in enumerate(text.split("\n")) for _ in cut(line)]
+    for name, bodies in templates.items():
+        for body in [bodies] if isinstance(bodies, str) else bodies:
+            tb, got = {*pairs_of(cut(body))}, []
+            hits = [i for i, x in enumerate(b) if x in tb]
+            for i in hits:
+                for j in hits:
+                    if i <= j:
+                        part = {*b[i : j + 1]}
+                        d = 2 * len(part & tb) / (len(part) + len(tb))
+                        if d >= dice and j - i < int(len(tb) * (2 - dice) / dice + 1e-9):
+                            got.append((-d, i, j))
+            for d, i, j in sorted(got):
+                if not any(x <= j + 1 and i <= y + 1 for _, x, y in (f[2] for f in found if f[0] is body)):
+                    found.append((body, name, (d, i, j)))
+    return sorted((name, lines[i], round(-d, 9)) for _, name, (d, i, j) in found)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+def test_licenses_against_all_windows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    short = {k: [b for b in ([v] if isinstance(v, str) else v) if len(b) < 400] for k, v in licenses.TEMPLATES.items()}
+    got = {}
+    for r in licenses.scan(docs, short).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.line_no, round(r.dice, 9)))
+    some = re.compile("|".join(licenses.anchors([re.findall(r"[^\W_]+", b.lower()) for v in short.values() for b in v], licenses.DICE)))
+    want = {r.doc_id: w for r in docs.collect() if some.search((r.text or "").lower()) and (w := plain_scan(r.text, short, licenses.DICE))}
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want) >= 3
+
+
 def test_licenses_beside_other_words_and_across_lines(spark):
     bsd = "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file."
     whole = licenses.TEMPLATES["MIT"][1].split(" ")
