@@ -16,11 +16,17 @@ from quarry.llm.common import cut, keyed, remove, shared_folder, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def without(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """docs without those whose key find returns as doc_id."""
+def without(docs: DataFrame, find: Callable[[DataFrame], DataFrame], *, once: bool = False) -> DataFrame:
+    """docs without those whose key find returns as doc_id. once: of rows of one id and text one stays."""
     rows, _ = keyed(docs.select(COLUMNS))
     gone = find(rows.withColumn("doc_id", F.col("key")).select(COLUMNS)).select(F.col("doc_id").alias("key"))
-    return rows.join(gone, "key", "left_anti").select(COLUMNS)
+    kept = rows.join(gone, "key", "left_anti")
+    again = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")) if once else None
+    if again is None or again.isEmpty():
+        return kept.select(COLUMNS)
+    first = F.row_number().over(Window.partitionBy("key").orderBy("lang", "source", "n_chars", F.col("text").isNull()))
+    one = kept.join(again, "key", "left_semi").withColumn("nth", first).where("nth = 1")
+    return kept.join(again, "key", "left_anti").select(COLUMNS).unionByName(one.select(COLUMNS))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +50,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8) the one of the smallest key stays."""
-    return without(docs, lambda d: jaccard_join.linked(d).where("component_id <> doc_id"))
+    return without(docs, lambda d: jaccard_join.linked(d).where("component_id <> doc_id"), once=True)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
