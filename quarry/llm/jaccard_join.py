@@ -346,14 +346,15 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     shares = posted.groupBy("id").agg(F.count("*").alias("o"))
     part = F.struct(F.col("o") / F.col("n"), (-F.col("id")).alias("x"))
     firsts = posted.join(shares, "id").groupBy("token").agg((-F.max(part).getField("x")).alias("first"))
-    named = posted.join(firsts, "token").groupBy("id", "first").agg(F.count("*").alias("o"))
-    own = shelf.put(named.groupBy("id").agg((-F.max(F.struct("o", (-F.col("first")).alias("x"))).getField("x")).alias("g")))
+    votes = posted.join(firsts, "token").groupBy("id", "first").agg(F.count("*").alias("o"))
+    own = shelf.put(votes.groupBy("id").agg((-F.max(F.struct("o", (-F.col("first")).alias("x"))).getField("x")).alias("g")))
     follow = own.where("id <> g")
     crowded = shelf.put(follow.groupBy("g").agg((F.count("*") > CROWD).alias("many")))
     # sketches of linked sets differ by a * both sizes at most; those of two sets with a link to a third by b * both sizes
     a, b = (100 - percent) / (100 + percent), (200 - 2 * percent) / (2 * percent)
     reach = F.when(F.col("many"), b).otherwise(a)
-    near = shelf.put(_near(follow.join(crowded, "g").select("id", "g", reach.alias("x"), reach.alias("y")), heads))
+    named = shelf.put(heads.join(own, "id", "left_semi").select("id", "n", "sketch"))  # the few classes that share a rare shingle
+    near = shelf.put(_near(follow.join(crowded, "g").select("id", "g", reach.alias("x"), reach.alias("y")), named))
     led = own.select("id").join(near, "id", "left").select("id", F.coalesce("g", "id").alias("g"))
     grouped = shelf.put(posted.join(led, "id"))
     shelf.drop(posted, own)
@@ -370,15 +371,15 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # differences of sketches add up: from a class to the smaller member that it links to, and on to the leader
     spread = leaders.join(crowded, "g", "left").select("g", F.when(F.col("many"), b).otherwise(a).alias("y"))
     to = pairs.join(spread, "g", "left").select("id", "g", F.coalesce(F.col("y") + 2 * a, F.lit(a)).alias("x"), F.coalesce("y", F.lit(a)).alias("y"))
-    loose = shelf.put(_near(to, heads))
+    loose = shelf.put(_near(to, named))
     members = shelf.put(own.select("g", "id").union(leaders.select("g", F.col("g").alias("id"))).distinct())
     # members of groups that aren't crowded are few: their own sketches tell more than the leader's
     large = crowded.where("many").select("g")
     few, of = loose.join(large, "g", "left_anti"), members.select("g", F.col("id").alias("m"))
     each = few.join(of, "g").where("m <> id").select("id", F.col("m").alias("g"), F.lit(a).alias("x"), F.lit(a).alias("y")).distinct()
-    close = _near(each, heads).withColumnRenamed("g", "m").join(of, "m").select("id", "g").distinct().join(few, ["id", "g"], "left_semi")
+    close = _near(each, named).withColumnRenamed("g", "m").join(of, "m").select("id", "g").distinct().join(few, ["id", "g"], "left_semi")
     abroad = shelf.put(close.unionByName(loose.join(large, "g", "left_semi")))
-    shelf.drop(grouped, near, crowded, loose)
+    shelf.drop(grouped, near, crowded, loose, named)
     shelf.tidy()
 
     inside = members.join(leaders.union(abroad.select("g")).distinct(), "g", "left_semi")
