@@ -98,7 +98,7 @@ R1 = "(SELECT * FROM orders_c WHERE order_id::BIGINT % 2 = 1 AND order_date < DA
 SHARE = "round(100.0::DOUBLE * ({})::DOUBLE / nullif({}, 0), 1)"
 FUNNEL = "count(*) sessions, CAST(sum(v) AS BIGINT) with_product_view, CAST(sum(c) AS BIGINT) with_add_to_cart, CAST(sum(k) AS BIGINT) with_checkout"
 OVERVIEW = """SELECT order_date, channel, category, CAST(sum(net_revenue) AS DECIMAL(28,2)) net_revenue, CAST(sum(orders_cnt) AS BIGINT) orders, CAST(sum(units) AS BIGINT) units,
-  round(sum(net_revenue)::DOUBLE / sum(orders_cnt), 2) avg_order_value, round(100 * sum(discount_total)::DOUBLE / nullif((sum(net_revenue) + sum(discount_total))::DOUBLE, 0), 2) discount_share_pct
+  floor(100 * sum(net_revenue)::DOUBLE / sum(orders_cnt) + 0.5) / 100 avg_order_value, round(100 * sum(discount_total)::DOUBLE / nullif((sum(net_revenue) + sum(discount_total))::DOUBLE, 0), 2) discount_share_pct
   FROM daily_c WHERE order_date BETWEEN DATE '1996-01-01' AND DATE '{}' {} GROUP BY ALL"""
 WINDOWS = "SELECT time_bucket(INTERVAL 5 MINUTE, event_ts) window_start, device, {} FROM clicks_c GROUP BY ALL"
 HISTORY = "SELECT customer_id, city, valid_from, valid_to, valid_to IS NULL is_current FROM history_c"

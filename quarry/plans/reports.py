@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 REVENUE_OVERVIEW = """
 SELECT order_date, channel, category, CAST(sum(net_revenue) AS DECIMAL(28,2)) AS net_revenue, CAST(sum(orders_cnt) AS BIGINT) AS orders, CAST(sum(units) AS BIGINT) AS units,
-  round(CAST(sum(net_revenue) AS DOUBLE) / nullif(CAST(sum(orders_cnt) AS DOUBLE), 0), 2) AS avg_order_value,
+  floor(100 * CAST(sum(net_revenue) AS DOUBLE) / nullif(CAST(sum(orders_cnt) AS DOUBLE), 0) + 0.5) / 100 AS avg_order_value,
   round(100 * CAST(sum(discount_total) AS DOUBLE) / nullif(CAST(sum(net_revenue) + sum(discount_total) AS DOUBLE), 0), 2) AS discount_share_pct
 FROM IDENTIFIER(:prefix || 'daily_sales')
 WHERE order_date BETWEEN :date_from AND :date_to AND (:channel = 'all' OR channel = :channel)
