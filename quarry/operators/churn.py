@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from datetime import date, datetime, timedelta
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -189,7 +188,3 @@ def save_list(scores: DataFrame, segments: DataFrame, k: int = 50) -> DataFrame:
 def drift(scores: DataFrame, run_id: str) -> DataFrame:
     """One row of a scoring run, to append to a history."""
     return scores.agg(F.count("*").alias("customers"), F.round(F.avg("churn_probability"), 6).alias("avg_probability"), F.count_if(F.col("risk_band") == "high").alias("high"), F.count_if(F.col("risk_band") == "medium").alias("medium"), F.count_if(F.col("risk_band") == "low").alias("low")).withColumn("run_id", F.lit(run_id))
-
-
-def new_id() -> str:
-    return uuid.uuid4().hex

@@ -36,10 +36,8 @@ def dim_product(products: DataFrame) -> DataFrame:
 def sales(orders: DataFrame, items: DataFrame) -> DataFrame:
     """One row per item with its order: what the queries that name no product need. Unknown discounts count as none."""
     discount = (F.col("line_amount") * F.coalesce(F.col("discount_pct").cast("decimal(6,4)"), F.lit(0))).cast(MONEY)
-    one = "discount_pct" if "discount_pct" in items.columns else None
-    left = items if one else items.join(orders.select("order_id", "discount_pct"), "order_id")
-    head = orders.drop("discount_pct", "_ingested_at")
-    return left.join(head, "order_id").select(
+    head = orders.drop("_ingested_at", *(["discount_pct"] if "discount_pct" in items.columns else []))  # an item's own discount counts
+    return items.join(head, "order_id").select(
         "item_id", "order_id", "customer_id", "product_id", "order_date", "order_ts", "status", "channel", "currency", "shipping_country", "is_revenue", "quantity", "unit_price",
         F.col("line_amount").alias("gross"), discount.alias("discount"), (F.col("line_amount") - discount).cast(MONEY).alias("net"),
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,6 +131,3 @@ def to_table(df: DataFrame, folder: str, checkpoint: str, *, partition_by: list[
 def query_path(spark: SparkSession, kind: str, path: str) -> DataFrame:
     """A folder as a table: SELECT * FROM json.`path`."""
     return spark.sql(f"SELECT * FROM {kind}.`{path}`")
-
-
-Cleaner = Callable[[DataFrame], DataFrame]

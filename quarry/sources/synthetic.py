@@ -61,12 +61,13 @@ class Feed:
     def orders(self, n: int, customers: DataFrame, day: datetime, *, dirty: bool = True) -> DataFrame:
         """Orders of a day, as JSON values. dirty: one of a hundred comes twice, two lack a customer, lie ahead or have an odd status."""
         people = customers.select("customer_id", F.pmod(F.xxhash64("customer_id"), F.lit(1024)).alias("slot")).groupBy("slot").agg(F.min("customer_id").alias("customer_id"))
+        any_ = F.lit(customers.agg(F.min("customer_id")).first()[0])  # where a slot has none
         rows = self.spark.range(n).withColumn("key", F.concat_ws("/", F.lit(str(day.date())), "id"))
         at = (F.lit(day).cast("timestamp_ntz") + F.make_dt_interval(secs=self._n("sec", 86_400, "key").cast("decimal(18,6)"))).cast("timestamp_ntz")
         bad = self._n("dirt", 150, "key") if dirty else F.lit(9)
         joined = rows.withColumn("slot", F.pmod(F.xxhash64("key", F.lit(self.seed)), F.lit(1024))).join(F.broadcast(people), "slot", "left")  # 1024 rows at most
         out = joined.select(
-            self._id("o", "key").alias("order_id"), F.when(bad == 0, None).otherwise(F.col("customer_id")).alias("customer_id"),
+            self._id("o", "key").alias("order_id"), F.when(bad == 0, None).otherwise(F.coalesce("customer_id", any_)).alias("customer_id"),
             F.when(bad == 1, at + F.expr("INTERVAL 400 DAYS")).otherwise(at).cast("string").alias("order_ts"), F.when(bad == 2, "odd").otherwise(self._pick("status", STATUSES, "key")).alias("status"),
             self._pick("channel", CHANNELS, "key").alias("channel"), F.lit("eur").alias("currency"), self._pick("ship", COUNTRIES, "key").alias("shipping_country"), (self._n("disc", 31, "key") / F.lit(100)).alias("discount_pct"),
         )
@@ -79,7 +80,9 @@ class Feed:
         lines = lines.withColumn("key", F.concat_ws("/", "order_id", "line"))
         bad = (self._n("baditem", 60, "key") == 0) & F.lit(dirty)
         joined = lines.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(256))).join(F.broadcast(goods), "slot", "left")  # 256 rows at most
-        price = F.coalesce(F.col("p.list_price").cast("decimal(12,2)"), F.lit(1).cast("decimal(12,2)"))
+        first = products.agg(F.min(F.struct("product_id", "list_price")).alias("p")).first().p
+        joined = joined.withColumn("p", F.coalesce("p", F.struct(F.lit(first.product_id).alias("product_id"), F.lit(first.list_price).alias("list_price"))))
+        price = F.col("p.list_price").cast("decimal(12,2)")
         return joined.select(
             self._id("i", "key").alias("order_item_id"), "order_id", F.col("p.product_id").alias("product_id"), F.when(bad, -self._n("qty", 3, "key")).otherwise(1 + self._n("qty", 5, "key")).alias("quantity"), F.when(bad, -price).otherwise(price).cast("string").alias("unit_price"),
         )
