@@ -145,29 +145,51 @@ def _sets(shelf: Shelf, docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return shelf.put(docs.mapInPandas(run, "id long, size long, tokens binary"))
 
 
+def _bins(n: int) -> int:
+    """Bits of the sketch of n shingles."""
+    return 2 << max(5, int(n - 1).bit_length())
+
+
 def _sketch(s: np.ndarray) -> bytes:
     """A bit for the parity of each of 2**k bins of the set, two to four for each shingle: unlike sets differ in enough of them."""
-    bins = 2 << max(5, int(s.size - 1).bit_length())
+    bins = _bins(s.size)
     return np.packbits((np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1).astype(np.uint8)).tobytes()
 
 
-def _differ(one: bytes, two: bytes) -> int:
-    """At least so many shingles are in one of the two sets alone: each flips one bit."""
-    x, y = sorted((np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)), key=len)
-    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, x.size))).sum())
+def _differ(one: bytes, two: bytes, n: int) -> int:
+    """At least so many shingles are in one of the two sets alone: each flips one bit. Sketches are compared at the bits that a set of
+    n shingles has, or fewer."""
+    x, y = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+    size = min(x.size, y.size, _bins(n) // 8)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, size)) ^ np.bitwise_xor.reduce(y.reshape(-1, size))).sum())
+
 
+def _near(shelf: Shelf, pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs id, g whose sizes, and whose sketches, compared at the bits of least shingles, differ in no more than x * the size of
+    id + y * that of g. A sketch of few bits is full when it meets a much larger set: sizes tell these apart, and do so before any
+    sketch is moved."""
+    size = lambda c: heads.select(F.col("id").alias(c), F.col("n").alias("n" + c))
+    most = (F.col("x") * F.col("nid") + F.col("y") * F.col("ng") + 1e-6).alias("most")
+    alike = pairs.join(size("id"), "id").join(size("g"), "g").where(F.abs(F.col("nid") - F.col("ng")) <= most).select("id", "g", "least", most)
+    alike = shelf.put(alike)
+    shared = shelf.share(_marks(alike.select("id").union(alike.select("g"))))
 
-def _near(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    """The pairs id, g whose sketches differ in no more than x * the size of id + y * that of g."""
-    side = lambda c: heads.select(F.col("id").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("s" + c))
+    @frugal
+    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f[_marked(shared.value, f["id"].to_numpy(np.int64))]
 
     @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            least = np.fromiter(map(_differ, f["sid"], f["sg"]), np.int64, len(f))
-            yield f.loc[least <= f["x"] * f["nid"] + f["y"] * f["ng"] + 1e-6, ["id", "g"]]
+            differ = np.fromiter(map(_differ, f["sid"], f["sg"], f["least"]), np.int64, len(f))
+            yield f.loc[differ <= f["most"], ["id", "g"]]
 
-    return pairs.join(side("id"), "id").join(side("g"), "g").mapInPandas(run, "id long, g long")
+    some = shelf.put(heads.select("id", "sketch").mapInPandas(pick, "id long, sketch binary"))
+    side = lambda c: some.select(F.col("id").alias(c), F.col("sketch").alias("s" + c))
+    out = shelf.put(alike.join(side("id"), "id").join(side("g"), "g").mapInPandas(run, "id long, g long"))
+    shelf.drop(alike, some)
+    return out
 
 
 def _signed(shelf: Shelf, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -352,9 +374,10 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     crowded = shelf.put(follow.groupBy("g").agg((F.count("*") > CROWD).alias("many")))
     # sketches of linked sets differ by a * both sizes at most; those of two sets with a link to a third by b * both sizes
     a, b = (100 - percent) / (100 + percent), (200 - 2 * percent) / (2 * percent)
+    every = F.lit(1 << 40).alias("least")  # sketches are compared at all bits that both have
     reach = F.when(F.col("many"), b).otherwise(a)
     named = shelf.put(heads.join(own, "id", "left_semi").select("id", "n", "sketch"))  # the few classes that share a rare shingle
-    near = shelf.put(_near(follow.join(crowded, "g").select("id", "g", reach.alias("x"), reach.alias("y")), named))
+    near = _near(shelf, follow.join(crowded, "g").select("id", "g", reach.alias("x"), reach.alias("y"), every), named)
     led = own.select("id").join(near, "id", "left").select("id", F.coalesce("g", "id").alias("g"))
     grouped = shelf.put(posted.join(led, "id"))
     shelf.drop(posted, own)
@@ -367,17 +390,19 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     met &= (100 + percent) * F.least(F.col("rest"), F.col("n") - F.col("pos")) >= percent * (F.col("n") + fewest)
     pairs = asks.join(matrix, "token").where(met).select("id", "g").distinct()
     own = shelf.put(grouped.select("id", "g").distinct())
-    leaders = shelf.put(own.where("id <> g").select("g").distinct())
-    # differences of sketches add up: from a class to the smaller member that it links to, and on to the leader
-    spread = leaders.join(crowded, "g", "left").select("g", F.when(F.col("many"), b).otherwise(a).alias("y"))
-    to = pairs.join(spread, "g", "left").select("id", "g", F.coalesce(F.col("y") + 2 * a, F.lit(a)).alias("x"), F.coalesce("y", F.lit(a)).alias("y"))
-    loose = shelf.put(_near(to, named))
+    led_by = shelf.put(grouped.where("id <> g").groupBy("g").agg(F.min("n").alias("least")))
+    leaders = led_by.select("g")
+    # differences of sketches add up, and so do those of sizes: from a class to the smaller member that it links to, and on to the
+    # leader; those of sketches only at bits that all three have
+    spread = led_by.join(crowded, "g", "left").select("g", "least", F.when(F.col("many"), b).otherwise(a).alias("y"))
+    to = pairs.join(spread, "g", "left").select("id", "g", F.coalesce(F.col("y") + 2 * a, F.lit(a)).alias("x"), F.coalesce("y", F.lit(a)).alias("y"), F.coalesce("least", every).alias("least"))
+    loose = _near(shelf, to, named)
     members = shelf.put(own.select("g", "id").union(leaders.select("g", F.col("g").alias("id"))).distinct())
     # members of groups that aren't crowded are few: their own sketches tell more than the leader's
     large = crowded.where("many").select("g")
     few, of = loose.join(large, "g", "left_anti"), members.select("g", F.col("id").alias("m"))
-    each = few.join(of, "g").where("m <> id").select("id", F.col("m").alias("g"), F.lit(a).alias("x"), F.lit(a).alias("y")).distinct()
-    close = _near(each, named).withColumnRenamed("g", "m").join(of, "m").select("id", "g").distinct().join(few, ["id", "g"], "left_semi")
+    each = few.join(of, "g").where("m <> id").select("id", F.col("m").alias("g"), F.lit(a).alias("x"), F.lit(a).alias("y"), every).distinct()
+    close = _near(shelf, each, named).withColumnRenamed("g", "m").join(of, "m").select("id", "g").distinct().join(few, ["id", "g"], "left_semi")
     abroad = shelf.put(close.unionByName(loose.join(large, "g", "left_semi")))
     shelf.drop(grouped, near, crowded, loose, named)
     shelf.tidy()
@@ -393,7 +418,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     shelf.tidy()
     edges = labels.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
     links = shelf.put(edges.unionByName(_across(asked, groups, labels, sets, percent)))
-    shelf.drop(sets, groups, labels, asked, own, leaders, members, abroad)
+    shelf.drop(sets, groups, labels, asked, own, led_by, members, abroad)
     shelf.tidy()
     found = components(links, shelf).select(F.col("v").alias("id"), "c")
     shelf.drop(links)

@@ -504,3 +504,21 @@ def test_pitman_yor_has_a_restaurant_for_each_preceding_word(spark):
     got = rows(pitman_yor.score(spark.createDataFrame(data, "doc_id long, text string")))
     assert got[5000].base_score == pytest.approx(got[5001].base_score, abs=0.5)
     assert got[5000].score > got[5001].score + 1
+
+
+def test_jaccard_sketches_and_sizes_rule_out_no_link(spark):
+    """Sizes part a small set from one that fills its sketch's bits; a member with a smaller sketch than its leader and the set that
+    links to it lowers the bits at which those two are compared."""
+    draws = np.random.default_rng(9)
+    of = lambda n: draws.integers(0, 1 << 63, n).astype(np.uint64)
+    sets = {1: of(100), 2: of(3000)}
+    heads = spark.createDataFrame([(i, s.size, bytearray(jaccard_join._sketch(s))) for i, s in sets.items()], "id long, n long, sketch binary")
+    pairs = spark.createDataFrame([(2, 1, 0.2, 0.2, 1 << 40), (1, 1, 0.2, 0.2, 1 << 40)], "id long, g long, x double, y double, least long")
+    assert jaccard_join._differ(jaccard_join._sketch(sets[2]), jaccard_join._sketch(sets[1]), 1 << 40) <= 0.2 * 3100
+    assert [tuple(r) for r in jaccard_join._near(jaccard_join.Shelf(spark), pairs, heads).collect()] == [(1, 1)]
+    for _ in range(200):
+        m, add = of(64), of(20)
+        g, other = np.concatenate([m, add[:10]]), np.concatenate([m, add[10:]])
+        one, two, small = map(jaccard_join._sketch, (g, other, m))
+        assert len(one) == len(two) == 2 * len(small)
+        assert jaccard_join._differ(one, two, 64) <= jaccard_join._differ(one, small, 64) + jaccard_join._differ(small, two, 64)
