@@ -125,7 +125,8 @@ def label_model(votes: np.ndarray, clean: np.ndarray, rounds: int = 25, steps: i
 
     votes: 1 where a voter fires, else it abstains; clean: voters for label 0. EM from the majority vote; a voter's chance to fire is
     logistic in the class and in the other voters that fire, so couplings (symmetric, none with itself) take up what two
-    voters have in common beyond the class. No label is used."""
+    voters have in common beyond the class. Voters for different labels have none: that they exclude each other is what the classes
+    are to explain, and with it explained otherwise EM parts texts of many entries from those of few. No label is used."""
     votes, of, times = np.unique(votes, axis=0, return_inverse=True, return_counts=True)  # rows that vote alike are one
     n, m = int(times.sum()), votes.shape[1]
     side = np.where(clean, -1.0, 1.0)
@@ -148,7 +149,7 @@ def label_model(votes: np.ndarray, clean: np.ndarray, rounds: int = 25, steps: i
             middle, gap = bias.mean(0), np.maximum(side * (bias[1] - bias[0]), EDGE) / 2
             bias = np.stack([middle - side * gap, middle + side * gap])
             step = (step + step.T) / 2 - 5.0 * couple
-            np.fill_diagonal(step, 0)
+            step[(side[:, None] != side) | np.eye(m, dtype=bool)] = 0
             couple = np.clip(couple + step / (0.25 * n + 5.0), -4, 4)
         each = _log_fires(votes, bias, couple)
         post = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + each[:, 1] - each[:, 0], -30, 30)))

@@ -506,6 +506,20 @@ def test_pitman_yor_has_a_restaurant_for_each_preceding_word(spark):
     assert got[5000].score > got[5001].score + 1
 
 
+def test_label_model_finds_texts_of_few_entries():
+    """Toxic texts of two to four entries among others of seven to ten: with couplings between voters for different labels, EM took
+    the many for the class, and left the few with the texts of none."""
+    draws, n = np.random.default_rng(8), 3000
+    y = draws.random(n) < 0.3
+    kinds = np.where(y, np.where(draws.random(n) < 0.6, draws.integers(2, 5, n), draws.integers(7, 11, n)), 0)
+    hits = np.zeros((n, 30))
+    for i, k in enumerate(kinds):
+        hits[i, draws.permutation(30)[:k]] = draws.integers(1, 3, k)
+    votes, clean = toxicity.ballot(hits, np.where(kinds > 4, draws.integers(300, 900, n), draws.integers(30, 300, n)))
+    post, _, couple = toxicity.label_model(votes, clean)
+    assert (post[y] > 0.5).mean() > 0.95 and (post[~y] < 0.1).all() and not couple[clean][:, ~clean].any()
+
+
 def test_jaccard_sketches_and_sizes_rule_out_no_link(spark):
     """Sizes part a small set from one that fills its sketch's bits; a member with a smaller sketch than its leader and the set that
     links to it lowers the bits at which those two are compared."""
