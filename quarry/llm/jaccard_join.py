@@ -172,7 +172,7 @@ def _near(shelf: Shelf, pairs: DataFrame, heads: DataFrame) -> DataFrame:
     most = (F.col("x") * F.col("nid") + F.col("y") * F.col("ng") + 1e-6).alias("most")
     alike = pairs.join(size("id"), "id").join(size("g"), "g").where(F.abs(F.col("nid") - F.col("ng")) <= most).select("id", "g", "least", most)
     alike = shelf.put(alike)
-    shared = shelf.share(_marks(alike.select("id").union(alike.select("g"))))
+    shared = shelf.share(_marks(alike.select("id").union(alike.select("g")).distinct()))
 
     @frugal
     def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
