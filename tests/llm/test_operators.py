@@ -506,6 +506,37 @@ def test_pitman_yor_has_a_restaurant_for_each_preceding_word(spark):
     assert got[5000].score > got[5001].score + 1
 
 
+def peak(run):
+    """What run returns, and the bytes that it took at most."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_pitman_yor_keeps_few_arrays_of_a_bucket():
+    """A bucket's pairs are packed and opened with little more than their own arrays: executors hold a bucket for each core."""
+    draws, n = np.random.default_rng(5), 1 << 20
+    names, ctx = np.sort(draws.integers(0, 1 << 64, 1 << 14, np.uint64)), np.sort(draws.integers(0, 1 << 14, n))
+    word, count = draws.integers(0, 1 << 14, n), np.where(draws.random(n) < 0.2, draws.integers(2, 9, n), 1)
+    cell, packing = peak(lambda: pitman_yor._cell(names, ctx, word, count))
+    b, opening = peak(lambda: pitman_yor._Bucket(*(x := pitman_yor._open_cell(*cell, n))[::2][:2], x[1], x[3], x[4]))
+    assert packing < 24 * n and opening < 40 * n
+    assert (b.ctxs[b.ctx] == names[ctx]).all() and (b.words[b.word] == names[word]).all() and (b.count == count).all()
+    odds, weighing = peak(lambda: pitman_yor._lgamma(np.arange(1, n, dtype=float)))
+    assert weighing < 24 * n and odds[4] == pytest.approx(math.log(24))
+
+
+def test_pitman_yor_packs_wide_numbers():
+    parts = [np.array([], int), np.array([0, (1 << 30) - 1]), np.array([1 << 30]), np.array([3, 1 << 62]), np.array([1 << 63, 5], np.uint64), np.array([7], np.int32)]
+    got = pitman_yor._unpack(pitman_yor._pack(*parts), *(x.size for x in parts))
+    assert [x.itemsize for x in got] == [4, 4, 8, 8, 8, 4]
+    assert all((x.astype(np.int64).view(np.uint64) == y.astype(np.uint64)).all() for x, y in zip(got, parts, strict=True))
+
+
 def test_label_model_finds_texts_of_few_entries():
     """Toxic texts of two to four entries among others of seven to ten: with couplings between voters for different labels, EM took
     the many for the class, and left the few with the texts of none."""
